@@ -1,9 +1,10 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from quarryline.llm import quality_rules
+from quarryline.llm import quality_rules, sentencepieces
 
 QUERIES = {
     "op4_host_quality_rules": quality_rules.query,
+    "op8_sentencepiece": sentencepieces.query,
 }
 
 ORACLES = {
