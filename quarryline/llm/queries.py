@@ -1,12 +1,14 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from quarryline.llm import quality_rules, sentencepieces
+from quarryline.llm import quality_rules, sentencepieces, winnowing
 
 QUERIES = {
     "op4_host_quality_rules": quality_rules.query,
     "op8_sentencepiece": sentencepieces.query,
+    "op9_winnowing_decontamination": winnowing.query,
 }
 
 ORACLES = {
     "op4_host_quality_rules": quality_rules.ORACLE,
+    "op9_winnowing_decontamination": winnowing.ORACLE,
 }
