@@ -1,11 +1,12 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from quarryline.llm import quality_rules, sentencepieces, winnowing
+from quarryline.llm import minmax, quality_rules, sentencepieces, winnowing
 
 QUERIES = {
     "op4_host_quality_rules": quality_rules.query,
     "op8_sentencepiece": sentencepieces.query,
     "op9_winnowing_decontamination": winnowing.query,
+    "op10_minmax_near_dedup": minmax.query,
 }
 
 ORACLES = {
