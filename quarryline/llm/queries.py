@@ -1,9 +1,10 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from quarryline.llm import minmax, quality_rules, sentencepieces, winnowing
+from quarryline.llm import minmax, quality_rules, sentencepieces, winnowing, zip_archives
 
 QUERIES = {
     "op4_host_quality_rules": quality_rules.query,
+    "op7_zip_warc": zip_archives.query,
     "op8_sentencepiece": sentencepieces.query,
     "op9_winnowing_decontamination": winnowing.query,
     "op10_minmax_near_dedup": minmax.query,
@@ -11,5 +12,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_host_quality_rules": quality_rules.ORACLE,
+    "op7_zip_warc": zip_archives.ORACLE,
     "op9_winnowing_decontamination": winnowing.ORACLE,
 }
