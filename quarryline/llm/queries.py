@@ -1,9 +1,10 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from quarryline.llm import minmax, quality_rules, sentencepieces, winnowing, zip_archives
+from quarryline.llm import balanced_shards, minmax, quality_rules, sentencepieces, winnowing, zip_archives
 
 QUERIES = {
     "op4_host_quality_rules": quality_rules.query,
+    "op5_balanced_label_propagation": balanced_shards.query,
     "op7_zip_warc": zip_archives.query,
     "op8_sentencepiece": sentencepieces.query,
     "op9_winnowing_decontamination": winnowing.query,
