@@ -1,8 +1,9 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from quarryline.llm import balanced_shards, minmax, quality_rules, sentencepieces, winnowing, zip_archives
+from quarryline.llm import balanced_shards, line_dedup, minmax, quality_rules, sentencepieces, winnowing, zip_archives
 
 QUERIES = {
+    "op2_three_line_dedup": line_dedup.query,
     "op4_host_quality_rules": quality_rules.query,
     "op5_balanced_label_propagation": balanced_shards.query,
     "op7_zip_warc": zip_archives.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_three_line_dedup": line_dedup.ORACLE,
     "op4_host_quality_rules": quality_rules.ORACLE,
     "op7_zip_warc": zip_archives.ORACLE,
     "op9_winnowing_decontamination": winnowing.ORACLE,
