@@ -1,11 +1,12 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from quarryline.llm import balanced_shards, line_dedup, minmax, quality_rules, sentencepieces, winnowing, zip_archives
+from quarryline.llm import balanced_shards, compression_toxicity, line_dedup, minmax, quality_rules, sentencepieces, winnowing, zip_archives
 
 QUERIES = {
     "op2_three_line_dedup": line_dedup.query,
     "op4_host_quality_rules": quality_rules.query,
     "op5_balanced_label_propagation": balanced_shards.query,
+    "op6_compression_toxicity": compression_toxicity.query,
     "op7_zip_warc": zip_archives.query,
     "op8_sentencepiece": sentencepieces.query,
     "op9_winnowing_decontamination": winnowing.query,
