@@ -1,8 +1,9 @@
 """The queries of this folder, by name, with their SQL where SQL can express them."""
 
-from quarryline.llm import balanced_shards, compression_toxicity, line_dedup, minmax, quality_rules, sentencepieces, winnowing, zip_archives
+from quarryline.llm import balanced_shards, compression_toxicity, line_dedup, minmax, pii_spans, quality_rules, sentencepieces, winnowing, zip_archives
 
 QUERIES = {
+    "op1_pii_semi_markov": pii_spans.query,
     "op2_three_line_dedup": line_dedup.query,
     "op4_host_quality_rules": quality_rules.query,
     "op5_balanced_label_propagation": balanced_shards.query,
