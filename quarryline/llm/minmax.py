@@ -3,8 +3,9 @@
 A document's set holds its distinct runs of 3 words (one run of all words when there are fewer).
 Documents with equal sets are one class. Each of PERMS linear permutations of a class's shingles
 gives two values, its least and its greatest: both agree between two sets with the probability of
-their similarity, so PERMS permutations give 2 * PERMS unbiased values. They are read in BANDS
-bands of ROWS values; a pair at the threshold of 0.85 shares no band with a probability of 6e-9.
+their similarity, so PERMS permutations give 2 * PERMS unbiased values. They are read in bands of so
+many values that a pair at the threshold shares no band with a probability of MISS at most (40
+bands of 6 values at 0.85, 48 of 5 at 0.8).
 
 Buckets are not expanded into pairs. Each member of a bucket is compared with the bucket's centre,
 links are confirmed on the full sets, and linked classes become components. Buckets that then
@@ -28,25 +29,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import vectors as V
-from quarryline.llm.common import materialize, read_table, ship
+from quarryline.llm.common import drop_materialized, materialize, read_table, ship
 from quarryline.llm.winnowing import _as_long, _bitmap, _in
 
-PERMS, BANDS, ROWS = 120, 40, 6
+PERMS = 120
+MISS = 1e-8
 LINK, OF = 85, 100
-#: Rows of a permutation matrix that are in memory at once.
-BLOCK = 16
 #: Centres are tried again while the pairs left are over this many for each class.
 LEFT_A_CLASS, MOST_ROUNDS = 2, 5
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _rng.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, PERMS, dtype=np.uint64)
-#: Which of the 2 * PERMS values go to which band.
-_DEAL = _rng.permutation(2 * PERMS).reshape(BANDS, ROWS)
+#: The order in which the 2 * PERMS values are dealt to bands.
+_DEAL = _rng.permutation(2 * PERMS)
 
 CLASS = "struct<a:bigint,b:bigint,n:bigint>"
 
 
+def bands_for(link: int, of: int) -> int:
+    """Values of a band: as many as keep the chance of missing a pair at the threshold under MISS."""
+    fits = [r for r in range(1, 13) if (1 - (link / of) ** r) ** (2 * PERMS // r) <= MISS]
+    return max(fits, default=1)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of the runs of size words of each row, by row, and their rows."""
     (word,), at = V.words(data, offsets, V.SPACED)
@@ -73,7 +79,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return h[fresh], r[fresh]
 
 
-def _signatures(columns: list[str], size: int):
+def _signatures(columns: list[str], size: int, per_band: int):
+    n_bands = 2 * PERMS // per_band
+    deal = _DEAL[: n_bands * per_band].reshape(n_bands, per_band)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, data, offsets in V.slices(batch.column("__text")):
@@ -81,7 +90,7 @@ def _signatures(columns: list[str], size: int):
                 rows, begin = np.unique(r, return_index=True)
                 count = np.bincount(r, minlength=n).astype(np.int64)
                 d1, d2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                bands = np.zeros((n, BANDS), np.uint64)
+                bands = np.zeros((n, n_bands), np.uint64)
                 if len(h):
                     d1[rows] = np.add.reduceat(V.mix(h ^ np.uint64(0x1234567)), begin)
                     d2[rows] = np.add.reduceat(V.mix(h + np.uint64(0x9E3779B9)), begin)
@@ -90,12 +99,12 @@ def _signatures(columns: list[str], size: int):
                         moved = h * _MULTIPLY[p] + _ADD[p]
                         values[2 * p] = np.minimum.reduceat(moved, begin)
                         values[2 * p + 1] = np.maximum.reduceat(moved, begin)
-                    total = np.zeros((BANDS, len(rows)), np.uint64)
-                    for k in range(ROWS):
-                        total = V.mix(total + values[_DEAL[:, k]] * V._COEFF[2][k])
+                    total = np.zeros((n_bands, len(rows)), np.uint64)
+                    for k in range(per_band):
+                        total = V.mix(total + values[deal[:, k]] * V._COEFF[2][k])
                     bands[rows] = total.T
                 kept = np.flatnonzero(count > 0)
-                ends = np.concatenate([[0], np.cumsum((count > 0) * BANDS)]).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum((count > 0) * n_bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(first, n) for c in columns), pa.array(count), pa.array(_as_long(d1)), pa.array(_as_long(d2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(_as_long(np.ascontiguousarray(bands[kept].ravel()))))],
                     names=[*columns, "n", "a", "b", "bands"],
@@ -184,6 +193,7 @@ class _Linker:
         with_x = pairs.join(texts.select(F.col("c").alias("x"), F.col("t").alias("ta")), "x")
         both = with_x.join(texts.select(F.col("c").alias("y"), F.col("t").alias("tb")), "y").select("x", "y", "ta", "tb")
         linked = materialize(both.mapInArrow(_confirm(self.size, self.link, self.of), f"x {CLASS}, y {CLASS}").distinct(), "links")
+        drop_materialized(texts)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         self.links = linked if self.links is None else self.links.unionByName(linked)
 
@@ -205,7 +215,7 @@ class _Linker:
             if not left:
                 return roots
             classes = classes or self.classes.count()
-            if left <= LEFT_A_CLASS * classes * BANDS or turn == MOST_ROUNDS:
+            if left <= LEFT_A_CLASS * classes * PERMS or turn == MOST_ROUNDS:
                 break
             self.confirm(members.join(split, "key").filter(F.col("root") != F.col("y_root")).select(F.col("c").alias("x"), "y"))
         members = materialize(members.join(split.select("key"), "key"), "members")
@@ -214,12 +224,12 @@ class _Linker:
         return components(self.links)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, link: int = LINK, of: int = OF) -> DataFrame:
-    """key, __th (hash of the text), n_shingles, component_id, kept: a row per row of docs."""
+def _grouped(docs: DataFrame, key: str, text: str, size: int, link: int, of: int) -> DataFrame:
+    """__key, __th, c (class), root, component of each row; root is null without a word."""
     ship(docs.sparkSession)
-    source = docs.select(F.col(key).alias("__key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"), F.col(text).alias("__text"))
+    source = docs.select(F.col(f"`{key}`").alias("__key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__th"), F.col(f"`{text}`").alias("__text"))
     kind = source.schema["__key"].dataType.simpleString()
-    signed = source.mapInArrow(_signatures(["__key", "__th"], size), f"__key {kind}, __th long, n long, a long, b long, bands array<long>")
+    signed = source.mapInArrow(_signatures(["__key", "__th"], size, bands_for(link, of)), f"__key {kind}, __th long, n long, a long, b long, bands array<long>")
     signed = materialize(signed.select("__key", "__th", F.struct("a", "b", "n").alias("c"), "bands"), "signatures")
     rep = F.min(F.struct(F.col("__key").alias("key"), F.col("__th").alias("th"))).alias("rep")
     classes = signed.filter(F.col("c.n") > 0).groupBy("c").agg(rep, F.min("__key").alias("least"), F.first("bands").alias("bands"))
@@ -227,11 +237,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     roots = _Linker(source, classes, size, link, of).run()
     by_class = classes.select("c", "least").join(roots, "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     of_root = by_class.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = materialize(by_class.join(of_root, "root").select("c", "component"), "components")
-    out = signed.select("__key", "__th", "c").join(of_class, "c", "left")
+    of_class = materialize(by_class.join(of_root, "root").select("c", "root", "component"), "components")
+    return signed.select("__key", "__th", "c").join(of_class, "c", "left")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, link: int = LINK, of: int = OF) -> DataFrame:
+    """key, n_shingles, component_id, kept: a row per row of docs."""
     component = F.when(F.col("c.n") > 0, F.col("component")).otherwise(F.col("__key"))
-    return out.select(F.col("__key").alias(key), "__th", F.col("c.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("__key"), F.lit(False)).alias("kept"))
+    return _grouped(docs, key, text, size, link, of).select(
+        F.col("__key").alias(key), F.col("c.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("__key"), F.lit(False)).alias("kept")
+    )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, link: int = 80, of: int = 100) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the least key (a null key only
+    where there is no other), then the least hash of its text. Wordless texts all stay."""
+    grouped = _grouped(docs, key, text, size, link, of).filter(F.col("c.n") > 0)
+    place = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__th").alias("th"))
+    rows = grouped.groupBy("root", "__key", "__th").agg(F.count(F.lit(1)).alias("copies"))
+    first = rows.groupBy("root").agg(F.min(place).alias("first"))
+    rows = materialize(rows.join(first, "root").select("__key", "__th", "copies", (place == F.col("first")).alias("stays")), "verdicts")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    whole = whole.select("__row", F.xxhash64(F.coalesce(F.col(f"__row.`{text}`"), F.lit(""))).alias("__th"))
+
+    def on(r: DataFrame):
+        return whole["__row"][key].eqNullSafe(r["__key"]) & (whole["__th"] == r["__th"])
+
+    # rows that are there several times are taken out with the rest, and one of each is put back
+    gone = rows.filter("NOT stays OR copies > 1")
+    out = whole.join(gone, on(gone), "left_anti").select("__row.*")
+    again = rows.filter("stays AND copies > 1")
+    if again.limit(1).count():
+        one = whole.join(again, on(again), "left_semi").groupBy(F.col("__row")[key].alias("k"), "__th").agg(F.first("__row").alias("__row"))
+        out = out.unionByName(one.select("__row.*"))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("__th")
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
