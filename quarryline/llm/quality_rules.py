@@ -58,14 +58,15 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         lambda acc, s: F.struct((acc["n"] + F.least(F.lit(5), s - acc["last"])).alias("n"), s.alias("last")),
         lambda acc: acc["n"],
     )
-    return df.select(
-        *first,
+    made = F.struct(
         F.size("__hashes").cast("long").alias("__words"),
         F.length(F.array_join("__split", "")).cast("long").alias("__chars"),
         F.regexp_count(t, F.lit(SYMBOL)).cast("long").alias("__symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__dup_lines"),
         repeat.alias("__repeat"),
     )
+    # a generator of one row: filters on the measures stay above it instead of being unfolded into it
+    return df.select(*first, F.explode(F.array(made)).alias("__made")).select(*first, "__made.*")
 
 
 def failures(words: Column, symbols: Column, dup_lines: Column, repeat: Column) -> dict[str, Column]:
