@@ -94,7 +94,8 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
 
 def _binned(rows: DataFrame, n: int) -> DataFrame:
     bins = max(LEAST_BINS, n // BIN_ROWS)
-    kind = F.when(F.col("__n") == 1, 0).when(F.col("__n") <= SMALL, 1).otherwise(2)
+    # rows without links make way first, then large groups, which are likely cut already
+    kind = F.when(F.col("__n") == 1, 0).when(F.col("__n") <= SMALL, 2).otherwise(1)
     by = F.when(F.col("__n") <= SMALL, F.xxhash64("__group")).otherwise(F.xxhash64("__key", "__group"))
     return rows.withColumn("__kind", kind).withColumn("__bin", F.pmod(by, F.lit(bins)).cast("int"))
 
