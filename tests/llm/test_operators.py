@@ -199,7 +199,7 @@ def test_long_lines_are_windows_too(spark):
 
 
 def test_shards(spark, odd, none):
-    docs = [(k, f"text {k % 400 if k % 3 else 0}") for k in range(1500)] + [(r[0], r[1]) for r in ODD]
+    docs = [(100 + k, f"text {k % 400 if k % 3 else 0}") for k in range(1500)] + [(r[0], r[1]) for r in ODD]
     got = balanced_shards.assign(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     slots, groups = defaultdict(list), defaultdict(set)
     text = dict(docs)
