@@ -9,9 +9,10 @@ bands of 6 values at 0.85, 48 of 5 at 0.8).
 
 Buckets are not expanded into pairs. Each member of a bucket is compared with the bucket's centre,
 links are confirmed on the full sets, and linked classes become components. Buckets that then
-still hold several components are gone through again with other centres, and at last every pair of
-members from different components is compared, so no link that a bucket holds is left out; only
-links inside a component are skipped, which cannot change it.
+still hold several components are gone through in blocks: members are compared with all members of
+other components, by sketches of a byte for each of the 2 * PERMS values, and what is within
+SIGMAS standard deviations of the threshold is confirmed on the full sets. Only pairs inside a
+component are left out, which cannot change it.
 
 Defined results: null or wordless texts have an empty set and are linked with nothing; rows with
 equal sets (so repeated rows too) are linked; each row gets a result row; a null key is never the
@@ -35,8 +36,10 @@ from quarryline.llm.winnowing import _as_long, _bitmap, _in
 PERMS = 120
 MISS = 1e-8
 LINK, OF = 85, 100
-#: Centres are tried again while the pairs left are over this many for each class.
-LEFT_A_CLASS, MOST_ROUNDS = 2, 5
+#: A pair is given up when its sketches agree in so many standard deviations less than at the threshold.
+SIGMAS = 6
+#: Members of a bucket that are compared with as many others in one task.
+BLOCK = 4096
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _rng.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,7 +47,6 @@ _ADD = _rng.integers(0, 2**63, PERMS, dtype=np.uint64)
 #: The order in which the 2 * PERMS values are dealt to bands.
 _DEAL = _rng.permutation(2 * PERMS)
 
-CLASS = "struct<a:bigint,b:bigint,n:bigint>"
 
 
 def bands_for(link: int, of: int) -> int:
@@ -91,6 +93,7 @@ def _signatures(columns: list[str], size: int, per_band: int):
                 count = np.bincount(r, minlength=n).astype(np.int64)
                 d1, d2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 bands = np.zeros((n, n_bands), np.uint64)
+                sketch = np.zeros((n, 2 * PERMS), np.uint8)
                 if len(h):
                     d1[rows] = np.add.reduceat(V.mix(h ^ np.uint64(0x1234567)), begin)
                     d2[rows] = np.add.reduceat(V.mix(h + np.uint64(0x9E3779B9)), begin)
@@ -103,11 +106,12 @@ def _signatures(columns: list[str], size: int, per_band: int):
                     for k in range(per_band):
                         total = V.mix(total + values[deal[:, k]] * V._COEFF[2][k])
                     bands[rows] = total.T
+                    sketch[rows] = (V.mix(values) & np.uint64(255)).astype(np.uint8).T
                 kept = np.flatnonzero(count > 0)
                 ends = np.concatenate([[0], np.cumsum((count > 0) * n_bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(first, n) for c in columns), pa.array(count), pa.array(_as_long(d1)), pa.array(_as_long(d2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(_as_long(np.ascontiguousarray(bands[kept].ravel()))))],
-                    names=[*columns, "n", "a", "b", "bands"],
+                    [*(batch.column(c).slice(first, n) for c in columns), pa.array(count), pa.array(_as_long(d1)), pa.array(_as_long(d2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(_as_long(np.ascontiguousarray(bands[kept].ravel())))), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    names=[*columns, "n", "a", "b", "bands", "sketch"],
                 )
 
     return run
@@ -141,41 +145,107 @@ def _confirm(size: int, link: int, of: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(c, root) for all ends of edges (x, y); root is the least of the component.
+def _least_agreement(link: int, of: int) -> int:
+    """Bytes of two sketches that agree at least when the sets are linked, but for SIGMAS deviations."""
+    s = link / of
+    return int(2 * PERMS * s - SIGMAS * (2 * PERMS * s * (1 - s)) ** 0.5)
+
+
+def _matrix(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * PERMS)
+
+
+def _near(link: int, of: int):
+    """Of pairs with both sketches: those that may be linked."""
+    least = _least_agreement(link, of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            agree = (_matrix(batch.column("sx")) == _matrix(batch.column("sy"))).sum(axis=1) if len(batch) else np.zeros(0)
+            sure = pa.array(agree >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(sure) for c in ("x", "y")], names=["x", "y"])
+
+    return run
+
+
+def _across(link: int, of: int):
+    """Of the members of two blocks of a bucket: pairs of different components that may be linked.
 
-    Least labels go along the edges and then to the labels' own labels, until nothing changes.
+    Each member outside the largest component is compared with all of larger or earlier ones.
     """
-    edges = materialize(edges.select("x", "y").union(edges.select("y", "x")), "edges")
-    labels = materialize(edges.groupBy(F.col("x").alias("c")).agg(F.min("y").alias("m")).select("c", F.least("c", "m").alias("root")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("c").alias("y"), "root"), "y").groupBy(F.col("x").alias("c")).agg(F.min("root").alias("m"))
-        moved = labels.join(near, "c").select("c", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("c").alias("root"), F.col("root").alias("up"))
-        moved = moved.join(jump, "root", "left").select("c", "old", F.least("root", F.coalesce("up", "root")).alias("root"))
-        moved = materialize(moved, "labels")
-        if moved.filter(F.col("old") != F.col("root")).limit(1).count() == 0:
-            return moved.select("c", "root")
-        labels = moved.select("c", "root")
+    least = _least_agreement(link, of)
+
+    def run(key, table):
+        block, root, n, ids = (np.asarray(table.column(c)) for c in ("block", "root", "n", "c"))
+        lo, hi = key[1].as_py(), key[2].as_py()
+        sketch = _matrix(table.column("sketch"))
+        _, of_root, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        place = np.empty(len(sizes), np.int64)
+        place[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes))
+        rank = place[of_root]
+        order = np.argsort(rank, kind="stable")
+        block, rank, n, ids, sketch = block[order], rank[order], n[order], ids[order], sketch[order]
+        xs, ys = [], []
+        for i in np.flatnonzero(rank > 0):
+            stop = int(np.searchsorted(rank, rank[i]))
+            fits = of * np.minimum(n[:stop], n[i]) >= link * np.maximum(n[:stop], n[i])
+            if lo != hi:
+                fits &= block[:stop] != block[i]
+            at = np.flatnonzero(fits)
+            at = at[(sketch[at] == sketch[i]).sum(axis=1) >= least]
+            xs.append(np.full(len(at), ids[i]))
+            ys.append(ids[at])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"x": np.concatenate(xs or none), "y": np.concatenate(ys or none)})
 
+    return run
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's edges (x, y): each end (c) and the least of its component in this partition (root)."""
+    up: dict[int, int] = {}
 
-def _fits(x: str, y: str, link: int, of: int):
-    """Sizes with which two sets can be linked at all."""
-    return of * F.least(f"{x}.n", f"{y}.n") >= link * F.greatest(f"{x}.n", f"{y}.n")
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(up.setdefault(x, x) if x not in up else x), top(up.setdefault(y, y) if y not in up else y)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in up], pa.int64())], names=["c", "root"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(c, root) for all ends of edges (x, y) of numbers; root is the least of the component.
+
+    Each partition finds the components of its own edges. An end that got different roots in
+    different partitions links these; those links, between roots only, are a smaller graph of the
+    same kind.
+    """
+    local = materialize(edges, "edges").mapInArrow(_forest, "c long, root long")
+    ends = materialize(local.groupBy("c").agg(F.sort_array(F.collect_set("root")).alias("roots")), "ends")  # one of each partition at most
+    own = ends.select("c", F.col("roots")[0].alias("root"))
+    links = ends.filter(F.size("roots") > 1).select(F.col("roots")[0].alias("y"), F.explode(F.slice("roots", F.lit(2), F.size("roots") - 1)).alias("x"))
+    if links.limit(1).count() == 0:
+        return own
+    above = components(links.select("x", "y").distinct())
+    return own.join(above.select(F.col("c").alias("root"), F.col("root").alias("top")), "root", "left").select("c", F.coalesce("top", "root").alias("root"))
 
 
 class _Linker:
+    """Links between classes (c: their number, n: size of the set, sketch, bands, rep: a row that has the set)."""
+
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, link: int, of: int):
         self.docs, self.classes, self.size, self.link, self.of = docs, classes, size, link, of
-        self.buckets = classes.select("c", F.posexplode("bands").alias("k", "v")).select("c", F.xxhash64("k", "v").alias("key"))
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Test pairs (x, y) that have not been tested."""
-        pairs = pairs.filter(_fits("x", "y", self.link, self.of)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["x", "y"], "left_anti")
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (x, y) whose full sets are linked."""
         pairs = materialize(pairs, "pairs")
         spark = pairs.sparkSession
         need = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct().join(self.classes.select("c", "rep"), "c")
@@ -192,67 +262,65 @@ class _Linker:
         texts = materialize(texts, "texts")
         with_x = pairs.join(texts.select(F.col("c").alias("x"), F.col("t").alias("ta")), "x")
         both = with_x.join(texts.select(F.col("c").alias("y"), F.col("t").alias("tb")), "y").select("x", "y", "ta", "tb")
-        linked = materialize(both.mapInArrow(_confirm(self.size, self.link, self.of), f"x {CLASS}, y {CLASS}").distinct(), "links")
+        linked = materialize(both.mapInArrow(_confirm(self.size, self.link, self.of), "x long, y long"), "links")
         drop_materialized(texts)
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.links = linked if self.links is None else self.links.unionByName(linked)
+        return linked
 
     def run(self) -> DataFrame:
         """(c, root) of the classes that are linked with another."""
-        centres = self.buckets.groupBy("key").agg(F.min("c").alias("y"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-        self.confirm(self.buckets.join(centres, "key").filter(F.col("c") != F.col("y")).select(F.col("c").alias("x"), "y"))
-        classes = None
-        for turn in range(MOST_ROUNDS + 1):
-            roots = components(self.links)
-            members = self.buckets.join(roots, "c", "left").select("key", "c", F.coalesce("root", "c").alias("root"))
-            shared = self.buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-            split = members.join(shared, "key", "left_semi").groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64(F.lit(turn), "c"), "c")).alias("c"))
-            split = split.groupBy("key").agg(
-                F.count(F.lit(1)).alias("roots"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.min(F.struct(F.xxhash64(F.lit(turn), "root"), "root", F.col("c.c").alias("c"))).alias("centre")
-            )
-            split = materialize(split.filter("roots > 1").select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("left"), F.col("centre.c").alias("y"), F.col("centre.root").alias("y_root")), "split")
-            left = split.agg(F.sum("left")).first()[0] or 0
-            if not left:
-                return roots
-            classes = classes or self.classes.count()
-            if left <= LEFT_A_CLASS * classes * PERMS or turn == MOST_ROUNDS:
-                break
-            self.confirm(members.join(split, "key").filter(F.col("root") != F.col("y_root")).select(F.col("c").alias("x"), "y"))
-        members = materialize(members.join(split.select("key"), "key"), "members")
-        other = members.select("key", F.col("c").alias("y"), F.col("root").alias("y_root"))
-        self.confirm(members.join(other, "key").filter((F.col("root") < F.col("y_root")) & _fits("c", "y", self.link, self.of)).select(F.col("c").alias("x"), "y"))
-        return components(self.links)
+        buckets = self.classes.select("c", F.posexplode("bands").alias("k", "v")).select("c", F.xxhash64("k", "v").alias("key"))
+        centres = buckets.groupBy("key").agg(F.min("c").alias("y"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "y")
+        members = materialize(buckets.join(centres, "key"), "members")
+        sketches = self.classes.select("c", "n", "sketch")
+        pairs = members.filter("c <> y").select(F.col("c").alias("x"), "y").distinct()
+        pairs = pairs.join(sketches.select(F.col("c").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), "x")
+        pairs = pairs.join(sketches.select(F.col("c").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy")), "y")
+        pairs = pairs.filter(self.of * F.least("nx", "ny") >= self.link * F.greatest("nx", "ny")).select("x", "y", "sx", "sy")
+        links = self.confirm(pairs.mapInArrow(_near(self.link, self.of), "x long, y long"))
+
+        rooted = members.select("key", "c").join(components(links), "c", "left").select("key", "c", F.coalesce("root", "c").alias("root"))
+        rooted = materialize(rooted, "rooted")
+        split = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("m"))
+        split = split.filter("roots > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        mixed = rooted.join(split, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+        mixed = mixed.join(sketches, "c")
+        others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
+        mixed = mixed.select("key", "c", "root", "n", "block", "sketch", F.explode(others).alias("p")).select("key", "p.lo", "p.hi", "c", "root", "n", "block", "sketch")
+        across = mixed.groupBy("key", "lo", "hi").applyInArrow(_across(self.link, self.of), "x long, y long").distinct()
+        more = self.confirm(across)
+        return components(links.unionByName(more))
 
 
 def _grouped(docs: DataFrame, key: str, text: str, size: int, link: int, of: int) -> DataFrame:
-    """__key, __th, c (class), root, component of each row; root is null without a word."""
+    """__key, __th, set (hashes, size), root, component of each row; root is null without a word."""
     ship(docs.sparkSession)
     source = docs.select(F.col(f"`{key}`").alias("__key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__th"), F.col(f"`{text}`").alias("__text"))
     kind = source.schema["__key"].dataType.simpleString()
-    signed = source.mapInArrow(_signatures(["__key", "__th"], size, bands_for(link, of)), f"__key {kind}, __th long, n long, a long, b long, bands array<long>")
-    signed = materialize(signed.select("__key", "__th", F.struct("a", "b", "n").alias("c"), "bands"), "signatures")
+    signed = source.mapInArrow(_signatures(["__key", "__th"], size, bands_for(link, of)), f"__key {kind}, __th long, n long, a long, b long, bands array<long>, sketch binary")
+    signed = materialize(signed.select("__key", "__th", F.struct("a", "b", "n").alias("set"), "bands", "sketch"), "signatures")
     rep = F.min(F.struct(F.col("__key").alias("key"), F.col("__th").alias("th"))).alias("rep")
-    classes = signed.filter(F.col("c.n") > 0).groupBy("c").agg(rep, F.min("__key").alias("least"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
+    classes = signed.filter(F.col("set.n") > 0).groupBy("set").agg(rep, F.min("__key").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # numbers that are written down with the classes, so they stay the same
+    classes = materialize(classes.select("*", F.col("set.n").alias("n"), F.monotonically_increasing_id().alias("c")), "classes")
     roots = _Linker(source, classes, size, link, of).run()
-    by_class = classes.select("c", "least").join(roots, "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
+    by_class = classes.select("c", "set", "least").join(roots, "c", "left").select("set", "least", F.coalesce("root", "c").alias("root"))
     of_root = by_class.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = materialize(by_class.join(of_root, "root").select("c", "root", "component"), "components")
-    return signed.select("__key", "__th", "c").join(of_class, "c", "left")
+    of_class = materialize(by_class.join(of_root, "root").select("set", "root", "component"), "components")
+    return signed.select("__key", "__th", "set").join(of_class, "set", "left")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, link: int = LINK, of: int = OF) -> DataFrame:
     """key, n_shingles, component_id, kept: a row per row of docs."""
-    component = F.when(F.col("c.n") > 0, F.col("component")).otherwise(F.col("__key"))
+    component = F.when(F.col("set.n") > 0, F.col("component")).otherwise(F.col("__key"))
     return _grouped(docs, key, text, size, link, of).select(
-        F.col("__key").alias(key), F.col("c.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("__key"), F.lit(False)).alias("kept")
+        F.col("__key").alias(key), F.col("set.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("__key"), F.lit(False)).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, link: int = 80, of: int = 100) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the least key (a null key only
     where there is no other), then the least hash of its text. Wordless texts all stay."""
-    grouped = _grouped(docs, key, text, size, link, of).filter(F.col("c.n") > 0)
+    grouped = _grouped(docs, key, text, size, link, of).filter(F.col("set.n") > 0)
     place = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__th").alias("th"))
     rows = grouped.groupBy("root", "__key", "__th").agg(F.count(F.lit(1)).alias("copies"))
     first = rows.groupBy("root").agg(F.min(place).alias("first"))
