@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without windows of two or more benchmark items."""
+    """Documents without a window of any benchmark item."""
     return winnowing.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 

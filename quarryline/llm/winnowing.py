@@ -220,8 +220,11 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that hold windows of fewer than two items."""
-    bad = find(docs, items, key, text).filter("contaminated").select(F.col(key).alias("__key"), F.col("__th").alias("__bad")).distinct()
+    """The rows of docs, with all columns, that hold no window of any item.
+
+    One item's window is a leak; the flag contaminated of find() asks for two items and is not used.
+    """
+    bad = find(docs, items, key, text).filter("n_items > 0").select(F.col(key).alias("__key"), F.col("__th").alias("__bad")).distinct()
     bad = materialize(bad, "leaks")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     rows = rows.select("__row", F.xxhash64(F.coalesce(F.col(f"__row.{text}"), F.lit(""))).alias("__th"))

@@ -124,6 +124,18 @@ def test_winnowing_is_brute_force(spark, odd, none):
     assert winnowing.clean(odd, b).columns == odd.columns
 
 
+def test_one_item_is_a_leak(spark):
+    item = " ".join(f"q{k}" for k in range(12))
+    other = " ".join(f"r{k}" for k in range(12))
+    rows = [(1, f"before {item} after"), (2, f"{BASE} {item[:23]}"), (3, item[:20]), (4, f"{item} {other}"), (5, BASE), (6, None), (None, f"x {other.upper()}"), (1, BASE)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    assert sorted(tuple(r) for r in winnowing.clean(d, b).fillna("").collect()) == [(1, BASE), (3, item[:20]), (5, BASE), (6, "")]
+    assert winnowing.clean(d, b.limit(0)).count() == len(rows)
+    flags = {(r.doc_id, r.n_items): r.contaminated for r in winnowing.find(d, b).collect()}
+    assert flags[1, 1] is False and flags[4, 2] is True
+
+
 def _sets(docs, size):
     out = []
     for _, t in docs:
