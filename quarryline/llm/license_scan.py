@@ -1,8 +1,10 @@
 """Licence scans: TF-IDF cosine to templates, and inheritance along paths. Built-in expressions only.
 
-The candidate passages of a file are its header lines (the first HEADER_LINES with a word) and its
-footer line (the last one), where notices stand; of a file that is named like a licence file, the
-whole text too. Terms are runs of letters and digits, folded; only terms of the templates have
+The passages of a file are all its lines with a term, all runs of such lines that follow each other
+(of no more lines than the longest short notice has terms, and twice its terms), its paragraphs
+(lines without a term, as bare comment marks, part them; copyright lines are left out) and its whole
+text. The SQL knows only the first HEADER_LINES lines and the last one: it gives the same rows where
+notices stand there. Terms are runs of letters and digits, folded; only terms of the templates have
 weight in a dot product, all others lengthen the passage's vector as a term that one file holds.
 Document frequencies are counted over all files. The best template of a passage with a cosine of
 LEAST_COSINE or more is declared; ties go to the first name. A file with a declaration is a licence
@@ -19,7 +21,9 @@ repeated rows each get a row; an empty table gives an empty result; other column
 from __future__ import annotations
 
 import collections
+import functools
 import math
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,12 +41,16 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Each with its own vocabulary, so that the weights of one don't depend on the others.
+SPACES = [list(TEMPLATES.items())]
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 HEADER_LINES = 3
 LEAST_COSINE = 0.8
 NOTICE_SHARE = 0.5
 WORD = r"[^\x20\x09-\x0D]"
 BREAK = r"[^a-z0-9]+"
+COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|c\)|all rights reserved|spdx-)[^\n]*$"
+PARAGRAPH = r"\n[^a-z0-9]*\n"
 
 
 def _terms(text: str) -> list[str]:
@@ -54,7 +62,7 @@ def terms(text: Column) -> Column:
 
 
 def vocabulary() -> list[str]:
-    return sorted({t for x in TEMPLATES.values() for t in _terms(x)})
+    return sorted({t for templates in SPACES for _, x in templates for t in _terms(x)})
 
 
 def _map(values: dict) -> Column:
@@ -81,37 +89,83 @@ def _dot(values: Column, by: Column) -> Column:
     return F.aggregate(F.array_sort(values), F.lit(0.0), lambda a, t: a + F.coalesce(by[t], F.lit(0.0)))
 
 
+class _Space:
+    """Templates with a vocabulary of their own; terms outside of it weigh as one that one file holds."""
+
+    def __init__(self, templates: list[tuple[str, str]], idf: dict[str, float], rare: float):
+        self.rare = rare
+        self.terms = sorted({t for _, x in templates for t in _terms(x)})
+        self.known = F.array(*map(F.lit, self.terms))
+        self.idf = _map({t: idf[t] for t in self.terms})
+        self.parts = []
+        for name, template in templates:
+            mine = collections.Counter(_terms(template))
+            squares = {t: (c * idf[t]) ** 2 for t, c in sorted(mine.items())}
+            length = math.sqrt(sum(squares.values()))
+            by = _map({t: c * idf[t] * idf[t] for t, c in mine.items()})
+            self.parts.append((name, squares, length, by))
+
+    def anchors(self) -> set[str]:
+        """Terms of which any passage that is alike holds one: of each template, all but what falls short."""
+        out = set()
+        for _, squares, length, _ in self.parts:
+            left = length**2
+            for t in sorted(squares, key=lambda t: (-squares[t], t)):
+                if left < LEAST_COSINE**2 * length**2 - 1e-6:
+                    break
+                out.add(t)
+                left -= squares[t]
+        return out
+
+    def near(self, values: Column) -> Column:
+        """Whether the values can be alike: a cosine is at most the share that the held terms have of a template's length."""
+        held = lambda squares: F.aggregate(F.array_intersect(F.array(*map(F.lit, squares)), values), F.lit(0.0), lambda a, t: a + _map(squares)[t])
+        return functools.reduce(operator.or_, (held(squares) >= LEAST_COSINE**2 * length**2 - 1e-6 for _, squares, length, _ in self.parts))
+
+    def best(self, values: Column) -> Column:
+        """minus (the cosine), licence and size for the template that is most alike."""
+        own = F.filter(values, lambda t: F.array_contains(self.known, t))
+        foreign = F.filter(values, lambda t: ~F.array_contains(self.known, t))
+        # the square of a cosine is at most own / (own + others), and each other term weighs as much as any
+        inside = _squares(own, lambda t: self.idf[t])
+        others = F.size(F.array_except(values, self.known)) * self.rare**2
+        norm = F.sqrt(inside + _squares(foreign, lambda t: F.lit(self.rare)))
+        found = [F.struct((-F.round(_dot(own, by) / (norm * length), 4)).alias("minus"), F.lit(name).alias("licence"), F.size(values).alias("size")) for name, _, length, by in self.parts]
+        return F.when(self.near(values) & (others <= (1 / LEAST_COSINE**2 - 1) * inside + 1e-6), F.array_min(F.array(*found)))
+
+
+def _passages(text: Column) -> tuple[Column, Column]:
+    """The term lists of a text's lines (to be __lines), and of these, runs of them, paragraphs and the text itself."""
+    most = max(len(_terms(x)) for x in TEMPLATES.values())
+    known = F.array(*map(F.lit, sorted({t for x in TEMPLATES.values() for t in _terms(x)})))
+    lines = F.filter(F.transform(F.split(text, "\n"), terms), lambda x: F.size(x) > 0)
+    # the best run begins and ends with a line that holds a term of a notice: another one only lengthens it
+    runs = lambda x, i: F.when(
+        F.arrays_overlap(x, known),
+        F.transform(F.sequence(F.lit(2), F.lit(most)), lambda k: F.flatten(F.slice(F.col("__lines"), i + 1, k))),
+    ).otherwise(F.array().cast("array<array<string>>"))
+    short = F.filter(F.flatten(F.transform("__lines", runs)), lambda x: F.size(x) <= 2 * most)
+    paragraphs = F.transform(F.split(F.regexp_replace(F.lower(text), COPYRIGHT, ""), PARAGRAPH), terms)
+    return lines, F.concat("__lines", short, paragraphs, F.array(terms(text)))
+
+
 def declarations(files: DataFrame) -> DataFrame:
     """files (__id, __path, __text) with __declared, __cosine and __notice (it is a licence file); a row per row."""
     idf, rare = weights(files, "__text")
-    idf_of, known = _map(idf), F.array(*map(F.lit, vocabulary()))
+    spaces = [_Space(x, idf, rare) for x in SPACES]
     text = F.coalesce("__text", F.lit(""))
-    files = files.withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
-    n = F.size("__lines")
     files = files.withColumn("__named", F.coalesce(F.element_at(F.split("__path", "/"), -1).rlike(LICENCE_FILE), F.lit(False)))
-    ends = F.concat(F.slice("__lines", F.lit(1), F.lit(HEADER_LINES)), F.slice("__lines", F.greatest(n, F.lit(1)), F.lit(1)))
-    chosen = F.array_distinct(F.when(F.col("__named"), F.array_append(ends, text)).otherwise(ends))
-    files = files.withColumn("__p", F.transform(chosen, lambda x: F.struct(terms(x).alias("all"))))
-    part = lambda p: F.struct(p["all"].alias("all"), F.filter(p["all"], lambda t: F.array_contains(known, t)).alias("own"), F.size(F.array_except(p["all"], known)).alias("others"))
-    files = files.withColumn("__p", F.transform("__p", part))
-    # the square of a cosine is at most own / (own + others), and each other term weighs as much as any
-    own = lambda p: _squares(p["own"], lambda t: idf_of[t])
-    most = 1 / LEAST_COSINE**2 - 1
-    files = files.withColumn("__p", F.filter("__p", lambda p: (F.size(p["own"]) > 0) & (p["others"] * rare**2 <= most * own(p) + 1e-6)))
-
-    def best(p: Column) -> Column:
-        foreign = F.filter(p["all"], lambda t: ~F.array_contains(known, t))
-        norm = F.sqrt(own(p) + _squares(foreign, lambda t: F.lit(rare)))
-        found = []
-        for name, template in TEMPLATES.items():
-            mine = collections.Counter(_terms(template))
-            length = math.sqrt(sum((c * idf[t]) ** 2 for t, c in sorted(mine.items())))
-            by = _map({t: c * idf[t] * idf[t] for t, c in mine.items()})
-            dot = _dot(p["own"], by)
-            found.append(F.struct((-F.round(dot / (norm * length), 4)).alias("minus"), F.lit(name).alias("licence"), F.size(p["all"]).alias("size")))
-        return F.array_min(F.array(*found))
-
-    files = files.withColumn("__best", F.array_min(F.filter(F.transform("__p", best), lambda b: b["minus"] <= -LEAST_COSINE)))
+    # a passage that is alike makes its whole text hold an anchor, and most of a template
+    anchors = F.array(*map(F.lit, sorted(set().union(*(x.anchors() for x in spaces)))))
+    files = files.withColumn("__held", F.array_intersect(terms(text), F.array(*map(F.lit, vocabulary()))))
+    near = functools.reduce(operator.or_, (x.near(F.col("__held")) for x in spaces))
+    files = files.withColumn("__near", F.when(F.arrays_overlap("__held", anchors), near).otherwise(F.lit(False))).drop("__held")
+    lines, passages = _passages(text)
+    nothing = F.array().cast("array<array<string>>")
+    files = files.withColumn("__lines", F.when(F.col("__near"), lines).otherwise(nothing))
+    files = files.withColumn("__p", F.when(F.col("__near"), passages).otherwise(nothing))
+    found = F.concat(*(F.transform("__p", x.best) for x in spaces))
+    files = files.withColumn("__best", F.array_min(F.filter(found, lambda b: b["minus"] <= -LEAST_COSINE)))
     words = F.when(F.col("__best").isNotNull(), F.size(terms(text)))
     return files.select(
         "__id",

@@ -337,3 +337,17 @@ def test_licences(spark, none):
     assert (got[2].declared, got[2].licence, got[2].inherited_from) == (None, "MIT", "a/b/c")
     assert got[4].licence is None and got[6].licence == "MIT" and got[8].licence is None
     assert license_scan.scan(none.withColumn("path", F.lit("a")), "doc_id", "path", "text").count() == 0
+
+
+def test_licences_anywhere_in_a_text(spark):
+    rest = "\n".join(f"some other words in line {k}" for k in range(30))
+    texts = [
+        (1, "MIT", f"{rest}\nReleased under the MIT License.\n{rest}"),
+        (2, "Apache-2.0", f"/*\n * Copyright 2020 Jane Doe\n *\n * Licensed under the Apache License, Version 2.0.\n */\n{rest}"),
+        (3, "MPL-2.0", f"{rest}\n# This Source Code Form is subject\n# to the terms of the Mozilla\n# Public License, v. 2.0.\n{rest}"),
+        (4, "GPL-3.0", f"// This work is licensed under the GNU\n// General Public License, version 3.\n{rest}"),
+        (5, None, f"{rest}\nthe public terms of a version\n{rest}"),
+        (6, "MIT", "\n".join("Released under the MIT License.".split())),
+    ]
+    d = spark.createDataFrame([(k, f"d{k}/f.c", t) for k, _, t in texts], "k long, path string, text string")
+    assert {r.k: r.declared for r in license_scan.scan(d, "k", "path", "text").collect()} == {k: name for k, name, _ in texts}
