@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import materialize, read_table, salt, salts
+from quarryline.llm.license_texts import TEXTS
 
 # Short notices, and the licences that they name.
 TEMPLATES = {
@@ -42,7 +43,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 #: Each with its own vocabulary, so that the weights of one don't depend on the others.
-SPACES = [list(TEMPLATES.items())]
+SPACES = [list(TEMPLATES.items()), TEXTS]
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 HEADER_LINES = 3
 LEAST_COSINE = 0.8
@@ -79,14 +80,10 @@ def weights(files: DataFrame, text: str) -> tuple[dict[str, float], float]:
     return {t: idf(df.get(t, 0)) for t in vocabulary()}, idf(1)
 
 
-def _squares(values: Column, weight) -> Column:
-    """Sum over the distinct values of (count * weight) ** 2, in a fixed order."""
-    distinct = F.array_sort(F.array_distinct(values))
-    return F.aggregate(distinct, F.lit(0.0), lambda a, t: a + F.pow(F.size(F.filter(values, lambda x: x == t)) * weight(t), F.lit(2.0)))
-
-
-def _dot(values: Column, by: Column) -> Column:
-    return F.aggregate(F.array_sort(values), F.lit(0.0), lambda a, t: a + F.coalesce(by[t], F.lit(0.0)))
+def _counts(ordered: Column, distinct: Column) -> Column:
+    """How often each of the distinct values stands in the ordered array."""
+    ends = lambda i: F.when(i + 1 < F.size(distinct), F.array_position(ordered, F.get(distinct, i + 1))).otherwise(F.size(ordered) + 1)
+    return F.transform(distinct, lambda t, i: ends(i) - F.array_position(ordered, t))
 
 
 class _Space:
@@ -122,16 +119,31 @@ class _Space:
         held = lambda squares: F.aggregate(F.array_intersect(F.array(*map(F.lit, squares)), values), F.lit(0.0), lambda a, t: a + _map(squares)[t])
         return functools.reduce(operator.or_, (held(squares) >= LEAST_COSINE**2 * length**2 - 1e-6 for _, squares, length, _ in self.parts))
 
-    def best(self, values: Column) -> Column:
-        """minus (the cosine), licence and size for the template that is most alike."""
-        own = F.filter(values, lambda t: F.array_contains(self.known, t))
-        foreign = F.filter(values, lambda t: ~F.array_contains(self.known, t))
-        # the square of a cosine is at most own / (own + others), and each other term weighs as much as any
-        inside = _squares(own, lambda t: self.idf[t])
-        others = F.size(F.array_except(values, self.known)) * self.rare**2
-        norm = F.sqrt(inside + _squares(foreign, lambda t: F.lit(self.rare)))
-        found = [F.struct((-F.round(_dot(own, by) / (norm * length), 4)).alias("minus"), F.lit(name).alias("licence"), F.size(values).alias("size")) for name, _, length, by in self.parts]
-        return F.when(self.near(values) & (others <= (1 / LEAST_COSINE**2 - 1) * inside + 1e-6), F.array_min(F.array(*found)))
+    def best(self, passages: Column) -> Column:
+        """minus (the cosine), licence and size of the passages for the templates that are most alike.
+
+        Step by step, so that nothing is worked out twice; few passages reach the last one.
+        """
+        split = lambda x: F.struct(
+            F.size(x).alias("size"),
+            F.array_sort(F.filter(x, lambda t: F.array_contains(self.known, t))).alias("own"),
+            F.array_sort(F.filter(x, lambda t: ~F.array_contains(self.known, t))).alias("foreign"),
+        )
+        distinct = lambda p: F.struct(p["size"], p["own"], p["foreign"], F.array_distinct(p["own"]).alias("terms"))
+        counted = lambda p: F.struct(p["size"], p["foreign"], F.map_from_arrays(p["terms"], _counts(p["own"], p["terms"])).alias("n"))
+        out = F.transform(F.filter(passages, self.near), split)
+        out = F.transform(F.transform(out, distinct), counted)
+        inside = lambda n: F.aggregate(F.map_entries(n), F.lit(0.0), lambda a, e: a + F.pow(e["value"] * self.idf[e["key"]], F.lit(2.0)))
+        dot = lambda n, by: F.aggregate(F.map_entries(n), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(by[e["key"]], F.lit(0.0)))
+        dots = lambda n: F.array(*(dot(n, by) / length for _, _, length, by in self.parts))
+        out = F.transform(out, lambda p: F.struct(p["size"], p["foreign"], inside(p["n"]).alias("inside"), dots(p["n"]).alias("dots")))
+        # each other term weighs at least as much as if all were different
+        out = F.filter(out, lambda p: F.array_max(p["dots"]) >= (LEAST_COSINE - 1e-4) * F.sqrt(p["inside"] + F.size(p["foreign"]) * self.rare**2))
+        out = F.transform(out, lambda p: F.struct(p["size"], p["foreign"], p["inside"], p["dots"], F.array_distinct(p["foreign"]).alias("terms")))
+        others = lambda p: F.aggregate(_counts(p["foreign"], p["terms"]), F.lit(0.0), lambda a, c: a + F.pow(c * F.lit(self.rare), F.lit(2.0)))
+        out = F.transform(out, lambda p: F.struct(p["size"], p["dots"], F.sqrt(p["inside"] + others(p)).alias("norm")))
+        found = lambda p: F.array_min(F.array(*(F.struct((-F.round(p["dots"][k] / p["norm"], 4)).alias("minus"), F.lit(name).alias("licence"), p["size"].alias("size")) for k, (name, *_) in enumerate(self.parts))))
+        return F.transform(out, found)
 
 
 def _passages(text: Column) -> tuple[Column, Column]:
@@ -164,7 +176,7 @@ def declarations(files: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<array<string>>")
     files = files.withColumn("__lines", F.when(F.col("__near"), lines).otherwise(nothing))
     files = files.withColumn("__p", F.when(F.col("__near"), passages).otherwise(nothing))
-    found = F.concat(*(F.transform("__p", x.best) for x in spaces))
+    found = F.concat(*(x.best(F.col("__p")) for x in spaces))
     files = files.withColumn("__best", F.array_min(F.filter(found, lambda b: b["minus"] <= -LEAST_COSINE)))
     words = F.when(F.col("__best").isNotNull(), F.size(terms(text)))
     return files.select(

@@ -351,3 +351,62 @@ def test_licences_anywhere_in_a_text(spark):
     ]
     d = spark.createDataFrame([(k, f"d{k}/f.c", t) for k, _, t in texts], "k long, path string, text string")
     assert {r.k: r.declared for r in license_scan.scan(d, "k", "path", "text").collect()} == {k: name for k, name, _ in texts}
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_HEADER = """/*
+ * frob.c - frobs things
+ *
+ * Copyright (C) 2019 Jane Doe
+ *
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version {v} of the License, or
+ * (at your option) any later version.
+ */
+"""
+APACHE_HEADER = """# Copyright 2018 The Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_licence_files_and_headers(spark):
+    code = "\n".join(f"some other words in line {k}" for k in range(30))
+    rows = [
+        (1, "p/LICENSE", MIT_FILE),
+        (2, "p/src/x.py", code),
+        (3, "q/x.c", GPL_HEADER.format(v=2) + code),
+        (4, "q/y.c", GPL_HEADER.format(v=3) + code),
+        (5, "q/z.py", APACHE_HEADER + code),
+        (6, "q/mit.js", "/*\n * " + MIT_FILE.replace("\n", "\n * ") + "*/\n" + code),
+        (7, "q/plain.py", code),
+    ]
+    got = {r.k: r for r in license_scan.scan(spark.createDataFrame(rows, "k long, path string, text string"), "k", "path", "text").collect()}
+    assert {k: r.declared for k, r in got.items()} == {1: "MIT", 2: None, 3: "GPL-2.0", 4: "GPL-3.0", 5: "Apache-2.0", 6: "MIT", 7: None}
+    assert (got[2].licence, got[2].inherited_from) == ("MIT", "p") and got[7].licence is None
