@@ -45,6 +45,13 @@ def candidates(units: DataFrame, histogram: DataFrame, lang: str, key: str, dige
     return out.filter(F.col("distance") <= F.col("__limit")).select(lang, "x", "y", "distance")
 
 
+def members(units: DataFrame, clusters: DataFrame, lang: str, key: str, digest: str) -> DataFrame:
+    """key, representative, component: a row for every unit; clusters (node, component) hold representatives."""
+    first = units.groupBy(lang, digest).agg(F.min(key).alias("representative"))
+    first = first.join(clusters, first["representative"] == clusters["node"], "left").withColumn("component", F.coalesce("component", "representative"))
+    return units.join(first, [lang, digest]).select(key, "representative", "component")
+
+
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, a row of the table at a time."""
     row = np.zeros(len(b) + 1, np.int64)

@@ -190,6 +190,15 @@ def near_clone_clusters(spark, sf_dir):
     return graph.components(e.filter("20 * distance <= sx + sy").select("x", "y"))
 
 
+@query(f"""WITH RECURSIVE {_NEAR}, e AS (SELECT x, y FROM near WHERE 20 * distance <= sx + sy), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r(node, to_) AS (SELECT x, x FROM b UNION SELECT r.node, b.y FROM r JOIN b ON r.to_ = b.x), c AS (SELECT node, min(to_) AS component FROM r GROUP BY node),
+k AS (SELECT page_id, min(page_id) OVER (PARTITION BY md5(array_to_string(tags, ' '))) AS representative FROM p)
+SELECT page_id, representative, coalesce(component, representative) AS component FROM k LEFT JOIN c ON node = representative""")
+def near_clone_members(spark, sf_dir):
+    """Every page with the representative of its digest, that the pairs name, and its cluster."""
+    return clones.members(_tags(spark, sf_dir), near_clone_clusters(spark, sf_dir), "lang", "page_id", "digest")
+
+
 @query("""WITH l AS (SELECT doc_id, md5(text) AS whole, md5(line) AS part FROM (SELECT doc_id, text, unnest(str_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 40),
 b AS (SELECT part, count(*) AS m FROM l GROUP BY part HAVING count(*) >= 2), w AS (SELECT md5(text) AS whole, count(*) AS m FROM documents GROUP BY ALL HAVING count(*) >= 2)
 SELECT part, count(*) AS members FROM l JOIN b USING (part) LEFT JOIN w USING (whole) WHERE w.m IS NULL OR w.m < b.m GROUP BY part HAVING count(*) >= 2""")

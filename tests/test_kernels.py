@@ -53,6 +53,13 @@ def test_near_clone_lcs_query(spark):
     assert got == pytest.approx(want)
 
 
+def test_every_clone_is_a_member(spark):
+    units = spark.createDataFrame([(1, "html", "a"), (2, "html", "a"), (3, "html", "b"), (4, "html", "b"), (5, "html", "c"), (6, "html", "c")], "id long, lang string, d string")
+    clusters = spark.createDataFrame([(1, 1), (3, 1)], "node long, component long")
+    got = sorted(tuple(r) for r in clones.members(units, clusters, "lang", "id", "d").collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1), (5, 5, 5), (6, 5, 5)]
+
+
 def test_communities_stay_local(spark):
     star = [(1, k, 4.0) for k in range(2, 8)] + [(8, 9, 1.0), (10, 1, 3.0), (10, 8, 2.0)]
     for padding in (0, 20):
