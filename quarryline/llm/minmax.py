@@ -9,20 +9,23 @@ bands of 6 values at 0.85, 48 of 5 at 0.8).
 
 Buckets are not expanded into pairs. Each member of a bucket is compared with the bucket's centre,
 links are confirmed on the full sets, and linked classes become components. Buckets that then
-still hold several components are gone through in blocks: members are compared with all members of
-other components, by sketches of a byte for each of the 2 * PERMS values, and what is within
-SIGMAS standard deviations of the threshold is confirmed on the full sets. Only pairs inside a
-component are left out, which cannot change it.
+still hold several components are gone through in blocks, which carry the full sets: members are
+compared with those of other components, by sketches of a byte for each of the 2 * PERMS values,
+and what is within SIGMAS standard deviations of the threshold is confirmed on the full sets in the
+same task, which gives out one link for each two components that it joins. So no pairs are written;
+only pairs inside a component are left out, which cannot change it. A group that is alike but not
+alike enough still takes comparisons by the square of its size, spread over blocks.
 
 Defined results: null or wordless texts have an empty set and are linked with nothing; rows with
-equal sets (so repeated rows too) are linked; each row gets a result row; a null key is never the
+equal sets (so repeated rows too) are linked; a text's length has no bound (a very long one is a
+batch of its own); each row gets a result row; a null key is never the
 smallest (a component of null keys only has a null id, and its rows are not kept); an empty table
 gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,8 @@ MISS = 1e-8
 LINK, OF = 85, 100
 #: A pair is given up when its sketches agree in so many standard deviations less than at the threshold.
 SIGMAS = 6
-#: Members of a bucket that are compared with as many others in one task.
-BLOCK = 4096
+#: Members of a bucket, and shingles of theirs, that are compared with as many others in one task.
+BLOCK, BLOCK_SHINGLES = 4096, 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _rng.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,30 +120,41 @@ def _signatures(columns: list[str], size: int, per_band: int):
     return run
 
 
-def _confirm(size: int, link: int, of: int):
-    """Of pairs with both texts: those whose sets are linked."""
+def _sets(size: int):
+    """c and the sorted hashes of a class's set (8 bytes each), from a text that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, data, offsets in V.slices(batch.column("t")):
+                h, r = shingle_sets(data, offsets, size)
+                raw, ends = h.tobytes(), 8 * np.searchsorted(r, np.arange(n + 1))
+                sets = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("c").slice(first, n), pa.array(sets, pa.binary())], names=["c", "hashes"])
+
+    return run
+
+
+def _arrays(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _confirm(link: int, of: int):
+    """Of pairs with both sets (sa, sb): those that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, len(whole), 512):
                 batch = whole.slice(start, 512)
-                sides = []
-                for name in ("ta", "tb"):
-                    hs, rs = [], []
-                    for first, _, data, offsets in V.slices(batch.column(name)):
-                        h, r = shingle_sets(data, offsets, size)
-                        hs.append(h)
-                        rs.append(r + first)
-                    sides.append((np.concatenate(hs), np.concatenate(rs)))
                 n = len(batch)
-                h, r = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
+                sides = [_arrays(batch.column(name)) for name in ("sa", "sb")]
+                h = np.concatenate([x for side in sides for x in side])
+                r = np.repeat(np.tile(np.arange(n), 2), [len(x) for side in sides for x in side])
                 order = np.lexsort((h, r))
                 h, r = h[order], r[order]
                 both = np.bincount(r[1:][(h[1:] == h[:-1]) & (r[1:] == r[:-1])], minlength=n)
                 union = np.bincount(r, minlength=n) - both
-                yield pa.RecordBatch.from_arrays(
-                    [c.filter(pa.array((of * both >= link * union) & (union > 0))) for c in (batch.column("x"), batch.column("y"))], names=["x", "y"]
-                )
+                linked = pa.array((of * both >= link * union) & (union > 0))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(linked) for c in ("x", "y")], names=["x", "y"])
 
     return run
 
@@ -171,34 +185,54 @@ def _near(link: int, of: int):
 
 
 def _across(link: int, of: int):
-    """Of the members of two blocks of a bucket: pairs of different components that may be linked.
+    """Of the members of two blocks of a bucket: links that join its components, confirmed on the full sets.
 
-    Each member outside the largest component is compared with all of larger or earlier ones.
+    Each member outside the largest component is compared with all of larger or earlier ones, by
+    sketch and then by set; members that a link has joined are not compared again. So a task gives
+    out fewer links than it has members, however many pairs it has looked at.
     """
     least = _least_agreement(link, of)
 
     def run(key, table):
         block, root, n, ids = (np.asarray(table.column(c)) for c in ("block", "root", "n", "c"))
-        lo, hi = key[1].as_py(), key[2].as_py()
-        sketch = _matrix(table.column("sketch"))
+        apart = key[1].as_py() != key[2].as_py()
         _, of_root, sizes = np.unique(root, return_inverse=True, return_counts=True)
         place = np.empty(len(sizes), np.int64)
         place[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes))
-        rank = place[of_root]
-        order = np.argsort(rank, kind="stable")
-        block, rank, n, ids, sketch = block[order], rank[order], n[order], ids[order], sketch[order]
+        order = np.argsort(place[of_root], kind="stable")
+        block, n, ids, comp = block[order], n[order], ids[order], place[of_root][order]
+        start = np.searchsorted(comp, comp)  # the members before it are in larger or earlier components
+        sketch, hashes = _matrix(table.column("sketch"))[order], None
         xs, ys = [], []
-        for i in np.flatnonzero(rank > 0):
-            stop = int(np.searchsorted(rank, rank[i]))
-            fits = of * np.minimum(n[:stop], n[i]) >= link * np.maximum(n[:stop], n[i])
-            if lo != hi:
+        for i in np.flatnonzero(comp > 0).tolist():
+            stop = int(start[i])
+            fits = (of * np.minimum(n[:stop], n[i]) >= link * np.maximum(n[:stop], n[i])) & (comp[:stop] != comp[i])
+            if apart:
                 fits &= block[:stop] != block[i]
             at = np.flatnonzero(fits)
             at = at[(sketch[at] == sketch[i]).sum(axis=1) >= least]
-            xs.append(np.full(len(at), ids[i]))
-            ys.append(ids[at])
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"x": np.concatenate(xs or none), "y": np.concatenate(ys or none)})
+            if not len(at):
+                continue
+            if hashes is None:  # numbers from 0 for the hashes of this task
+                hashes = _arrays(table.column("hashes"))
+                hashes = [hashes[k] for k in order.tolist()]
+                _, number = np.unique(np.concatenate(hashes), return_inverse=True)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in hashes])])
+                own = np.zeros(int(number.max()) + 1, bool)
+            mine = number[ends[i] : ends[i + 1]]
+            own[mine] = True
+            for k in range(0, len(at), 256):
+                some = at[k : k + 256]
+                sizes_of = n[some]
+                begins = np.concatenate([[0], np.cumsum(sizes_of)[:-1]])
+                both = np.add.reduceat(own[np.concatenate([number[ends[j] : ends[j + 1]] for j in some.tolist()])].astype(np.int64), begins)
+                for j in some[of * both >= link * (n[i] + sizes_of - both)].tolist():
+                    if comp[j] != comp[i]:
+                        xs.append(ids[i])
+                        ys.append(ids[j])
+                        comp[comp == comp[i]] = comp[j]
+            own[mine] = False
+        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
     return run
 
@@ -221,20 +255,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in up], pa.int64())], names=["c", "root"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """(c, root) for all ends of edges (x, y) of numbers; root is the least of the component.
 
     Each partition finds the components of its own edges. An end that got different roots in
     different partitions links these; those links, between roots only, are a smaller graph of the
     same kind.
     """
-    local = materialize(edges, "edges").mapInArrow(_forest, "c long, root long")
-    ends = materialize(local.groupBy("c").agg(F.sort_array(F.collect_set("root")).alias("roots")), "ends")  # one of each partition at most
+    local = keep(edges, "edges").mapInArrow(_forest, "c long, root long")
+    ends = keep(local.groupBy("c").agg(F.sort_array(F.collect_set("root")).alias("roots")), "ends")  # one of each partition at most
     own = ends.select("c", F.col("roots")[0].alias("root"))
     links = ends.filter(F.size("roots") > 1).select(F.col("roots")[0].alias("y"), F.explode(F.slice("roots", F.lit(2), F.size("roots") - 1)).alias("x"))
     if links.limit(1).count() == 0:
         return own
-    above = components(links.select("x", "y").distinct())
+    above = components(links.select("x", "y").distinct(), keep)
     return own.join(above.select(F.col("c").alias("root"), F.col("root").alias("top")), "root", "left").select("c", F.coalesce("top", "root").alias("root"))
 
 
@@ -243,13 +277,22 @@ class _Linker:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, link: int, of: int):
         self.docs, self.classes, self.size, self.link, self.of = docs, classes, size, link, of
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs (x, y) whose full sets are linked."""
-        pairs = materialize(pairs, "pairs")
-        spark = pairs.sparkSession
-        need = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct().join(self.classes.select("c", "rep"), "c")
-        need = materialize(need.select("c", F.col("rep.key").alias("key"), F.col("rep.th").alias("th")), "need")
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        """df, written down until clear()."""
+        self.kept.append(materialize(df, tag))
+        return self.kept[-1]
+
+    def clear(self) -> None:
+        for df in self.kept:
+            drop_materialized(df)
+
+    def sets(self, need: DataFrame) -> DataFrame:
+        """c, hashes: the full sets of the classes that need (c) names."""
+        spark = need.sparkSession
+        need = need.distinct().join(self.classes.select("c", "rep"), "c")
+        need = self.keep(need.select("c", F.col("rep.key").alias("key"), F.col("rep.th").alias("th")), "need")
         wanted = spark.sparkContext.broadcast(_bitmap(need, "th"))
 
         def pick(batches):
@@ -258,19 +301,24 @@ class _Linker:
 
         kind = self.docs.schema["__key"].dataType.simpleString()
         some = self.docs.mapInArrow(pick, f"__key {kind}, __th long, __text string")
-        texts = need.join(some, need["key"].eqNullSafe(some["__key"]) & (need["th"] == some["__th"])).select("c", F.col("__text").alias("t"))
-        texts = materialize(texts, "texts")
-        with_x = pairs.join(texts.select(F.col("c").alias("x"), F.col("t").alias("ta")), "x")
-        both = with_x.join(texts.select(F.col("c").alias("y"), F.col("t").alias("tb")), "y").select("x", "y", "ta", "tb")
-        linked = materialize(both.mapInArrow(_confirm(self.size, self.link, self.of), "x long, y long"), "links")
-        drop_materialized(texts)
-        return linked
+        texts = need.join(some, need["key"].eqNullSafe(some["__key"]) & (need["th"] == some["__th"]))
+        one = texts.select("c", F.col("__text").alias("t")).mapInArrow(_sets(self.size), "c long, hashes binary")
+        # rows that are there several times have the same set
+        return self.keep(one, "sets").dropDuplicates(["c"])
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (x, y) whose full sets are linked."""
+        pairs = self.keep(pairs, "pairs")
+        sets = self.sets(pairs.select(F.col("x").alias("c")).union(pairs.select("y")))
+        with_x = pairs.join(sets.select(F.col("c").alias("x"), F.col("hashes").alias("sa")), "x")
+        both = with_x.join(sets.select(F.col("c").alias("y"), F.col("hashes").alias("sb")), "y").select("x", "y", "sa", "sb")
+        return self.keep(both.mapInArrow(_confirm(self.link, self.of), "x long, y long"), "links")
 
     def run(self) -> DataFrame:
         """(c, root) of the classes that are linked with another."""
-        buckets = self.classes.select("c", F.posexplode("bands").alias("k", "v")).select("c", F.xxhash64("k", "v").alias("key"))
+        buckets = self.classes.select("c", "n", F.posexplode("bands").alias("k", "v")).select("c", "n", F.xxhash64("k", "v").alias("key"))
         centres = buckets.groupBy("key").agg(F.min("c").alias("y"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "y")
-        members = materialize(buckets.join(centres, "key"), "members")
+        members = self.keep(buckets.join(centres, "key"), "members")
         sketches = self.classes.select("c", "n", "sketch")
         pairs = members.filter("c <> y").select(F.col("c").alias("x"), "y").distinct()
         pairs = pairs.join(sketches.select(F.col("c").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), "x")
@@ -278,17 +326,19 @@ class _Linker:
         pairs = pairs.filter(self.of * F.least("nx", "ny") >= self.link * F.greatest("nx", "ny")).select("x", "y", "sx", "sy")
         links = self.confirm(pairs.mapInArrow(_near(self.link, self.of), "x long, y long"))
 
-        rooted = members.select("key", "c").join(components(links), "c", "left").select("key", "c", F.coalesce("root", "c").alias("root"))
-        rooted = materialize(rooted, "rooted")
-        split = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("m"))
-        split = split.filter("roots > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        mixed = rooted.join(split, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-        mixed = mixed.join(sketches, "c")
+        rooted = members.select("key", "c", "n").join(components(links, self.keep), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
+        rooted = self.keep(rooted, "rooted")
+        split = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+        split = split.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+        split = split.filter("roots > 1").select("key", blocks.alias("blocks"))
+        mixed = self.keep(rooted.join(split, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")), "mixed")
+        mixed = mixed.drop("n").join(self.keep(sketches.join(self.sets(mixed.select("c")), "c"), "compared"), "c")
         others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
-        mixed = mixed.select("key", "c", "root", "n", "block", "sketch", F.explode(others).alias("p")).select("key", "p.lo", "p.hi", "c", "root", "n", "block", "sketch")
-        across = mixed.groupBy("key", "lo", "hi").applyInArrow(_across(self.link, self.of), "x long, y long").distinct()
-        more = self.confirm(across)
-        return components(links.unionByName(more))
+        columns = ["c", "root", "n", "block", "sketch", "hashes"]
+        mixed = mixed.select("key", *columns, F.explode(others).alias("p")).select("key", "p.lo", "p.hi", *columns)
+        more = mixed.groupBy("key", "lo", "hi").applyInArrow(_across(self.link, self.of), "x long, y long")
+        return components(links.unionByName(more), self.keep)
 
 
 def _grouped(docs: DataFrame, key: str, text: str, size: int, link: int, of: int) -> DataFrame:
@@ -302,10 +352,12 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, link: int, of: int
     classes = signed.filter(F.col("set.n") > 0).groupBy("set").agg(rep, F.min("__key").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # numbers that are written down with the classes, so they stay the same
     classes = materialize(classes.select("*", F.col("set.n").alias("n"), F.monotonically_increasing_id().alias("c")), "classes")
-    roots = _Linker(source, classes, size, link, of).run()
-    by_class = classes.select("c", "set", "least").join(roots, "c", "left").select("set", "least", F.coalesce("root", "c").alias("root"))
+    linker = _Linker(source, classes, size, link, of)
+    by_class = classes.select("c", "set", "least").join(linker.run(), "c", "left").select("set", "least", F.coalesce("root", "c").alias("root"))
     of_root = by_class.groupBy("root").agg(F.min("least").alias("component"))
     of_class = materialize(by_class.join(of_root, "root").select("set", "root", "component"), "components")
+    linker.clear()
+    drop_materialized(classes)
     return signed.select("__key", "__th", "set").join(of_class, "set", "left")
 
 
