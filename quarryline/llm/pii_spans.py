@@ -1,24 +1,32 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans.
 
-The patterns (email, ip, card, phone) are always reported. The field reads the places that look
-like personal data but are in no pattern's span: a window of tokens around each is cut into
-segments, each of which is one ordinary token or an entity of up to MAX_TOKENS tokens. An entity is
-scored as a whole (number and grouping of its digits, check digit, separators, signs, what stands
+The patterns (email, ip, card, phone) are always reported. The field reads whole texts: a text is cut
+into segments, each of which is one ordinary token or an entity of up to MAX_TOKENS tokens. An entity
+is scored as a whole (number and grouping of its digits, check digit, separators, signs, what stands
 beside it), and dynamic programming over all segmentations with entities of bounded length chooses
-boundaries and types together. No added span overlaps one of a pattern.
-
-The field is trained here, by gradient steps on its likelihood, on windows around the patterns'
-spans in a bounded sample (SAMPLE documents with the least hash of their id): as they are, and
-rewritten in ways that the patterns miss ("name [at] host [dot] org", phones without "+", cards
-with points, defanged addresses). Numbers that fail a check, and made-up dates, amounts and order
-numbers, are its ordinary text. Without a span in the sample it is trained on made-up ones alone.
+boundaries and types together. Tokens of the patterns' spans are ordinary to it, so no added span
+overlaps one of them.
+
+An entity holds an at-sign, or four digits or more between number marks. Tokens that no possible
+entity covers are ordinary in every segmentation, so the programme is worked out for the stretches
+that possible entities cover, each up to the ordinary token after it: the result is that of the whole
+text (a test compares it with all segmentations), and time is linear in the text.
+
+The field is trained here, by gradient steps on its likelihood, on places that the patterns label, in
+the SAMPLE documents with the least hash of their id among those with a digit or "@": PLACES spans of
+each of up to SPAN_CHARS code points and what stands beside them, as they are, and rewritten in ways
+that the patterns miss ("name [at] host [dot] org", phones without "+", cards with points, defanged
+addresses); TRAIN_WINDOWS / 2 of them are learnt from. Numbers that fail a check, and made-up dates,
+amounts and order numbers, are its ordinary text. Without a span in the sample it is trained on
+made-up ones alone.
 
 Defined results: a null text is empty; rows are independent, so repeated rows, extra columns and
-empty tables need nothing special; time grows linearly with a text.
+empty tables need nothing special; time grows linearly with a text, and no text is too long.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -34,14 +42,15 @@ from quarryline.llm import vectors as V
 from quarryline.llm.common import materialize, read_table, ship
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 30
-SAMPLE, TRAIN_WINDOWS, EPOCHS = 3000, 320, 6
-#: Code points beside a place that its window takes in.
-BESIDE = 40
+MAX_TOKENS, MAX_DIGITS = 30, 19
+#: Documents that places are taken from, places of each, windows that the field is trained on, rounds.
+SAMPLE, PLACES, TRAIN_WINDOWS, EPOCHS = 1000, 3, 320, 6
+#: Code points beside a place that a training window takes in, and of the place itself at most.
+BESIDE, SPAN_CHARS = 40, 200
 
 _AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[^0-9]+")
@@ -98,7 +107,8 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- the field
 
-_PLACE = re.compile(r"[0-9](?:[\x20().\-/\[\]]{0,3}[0-9]){6,}|@|\[\.\]|[\[(]\x20?at\x20?[\])]", re.IGNORECASE)
+_NUMBERS = re.compile(r"[0-9][0-9\x20()\[\].+-]*")
+_MARKS = frozenset(" ()[].+-")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
 _AT = re.compile(r"@|[\[(]\x20?at\x20?[\])]", re.IGNORECASE)
 _DOT = re.compile(r"\.|[\[(]\x20?dot\x20?[\])]", re.IGNORECASE)
@@ -143,24 +153,93 @@ def span_features(text: str, a: int, b: int) -> list[str] | None:
     return out
 
 
-def segments(text: str, blocked: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-    """Token borders, and the possible entities (first token, end token, features); blocked: spans they keep clear of."""
-    borders = [0, *(m.end() for m in _TOKEN.finditer(text))]
+def _class(c: str) -> int:
+    """What kind of token a code point belongs to; those of the last kind are tokens of their own."""
+    return 0 if "0" <= c <= "9" else 1 if c.isalnum() and not c.isdecimal() else 2 if c.isspace() else 3
+
+
+def _token_start(text: str, end: int) -> int:
+    """Where the token that ends at end begins."""
+    kind, at = _class(text[end - 1]), end - 1
+    while kind < 3 and at > 0 and _class(text[at - 1]) == kind:
+        at -= 1
+    return at
+
+
+def stretches(text: str) -> list[list[int]]:
+    """[begin, end) of the parts of a text that hold every possible entity, and the token after each; merged."""
+    found = []
+    done = 0
+    for m in _NUMBERS.finditer(text):
+        if sum(map(len, _GROUPS.findall(m.group()))) >= 4:
+            begin, end = m.start(), m.end()
+            while begin > done and text[begin - 1] in _MARKS:
+                begin -= 1
+            while text[begin] not in "+(0123456789":
+                begin += 1
+            while not "0" <= text[end - 1] <= "9":
+                end -= 1
+            found.append([begin, end])
+        done = m.end()
+    for m in _AT.finditer(text):
+        begin = m.start()
+        tokens = 0
+        while begin > 0 and tokens < MAX_TOKENS:
+            before = _token_start(text, begin)
+            if text[before].isspace() and tokens:
+                break
+            begin, tokens = before, tokens + 1
+        end = m.end()
+        for _ in range(MAX_TOKENS):
+            if (t := _TOKEN.match(text, end)) is None:
+                break
+            end = t.end()
+        found.append([begin, end])
+    merged: list[list[int]] = []
+    for begin, end in sorted(found):
+        after = _TOKEN.match(text, end)
+        end = after.end() if after else end
+        if merged and begin <= merged[-1][1]:
+            merged[-1][1] = max(end, merged[-1][1])
+        else:
+            merged.append([begin, end])
+    return merged
+
+
+def segments(text: str, begin: int, end: int, blocked: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
+    """Token borders of a part, and its possible entities (first token, end token, features); blocked: ordered spans they keep clear of."""
+    borders = [begin, *(m.end() for m in _TOKEN.finditer(text, begin, end))]
     n, found = len(borders) - 1, []
     free = [True] * n
     for a, b in blocked:
-        for k in range(n):
-            if borders[k] < b and borders[k + 1] > a:
-                free[k] = False
+        for k in range(max(bisect.bisect_right(borders, a) - 1, 0), n):
+            if borders[k] >= b:
+                break
+            free[k] = False
+    ats = [(m.start(), m.end()) for m in _AT.finditer(text, begin, end)]
+    nth = 0
     for i in range(n):
-        c = text[borders[i]]
+        start = borders[i]
+        c = text[start]
         if not free[i] or not (c.isalnum() or c in "+("):
             continue
+        while nth < len(ats) and ats[nth][0] < start:
+            nth += 1
+        at = ats[nth] if nth < len(ats) and not re.search(r"\s", text[start : ats[nth][0]].rstrip()) else None
+        beyond = ats[nth + 1][1] if at and nth + 1 < len(ats) else end + 1
+        number, digits = True, 0
         for j in range(i + 1, min(i + MAX_TOKENS, n) + 1):
-            if not free[j - 1]:
+            if not free[j - 1] or borders[j] >= beyond:
+                break
+            piece = text[borders[j - 1] : borders[j]]
+            if number:
+                number = not _NO_NUMBER.search(piece)
+                digits += len(piece) if "0" <= piece[0] <= "9" else 0
+                number = number and digits <= MAX_DIGITS
+            if not number and not at:
                 break
-            if text[borders[j] - 1].isalnum():
-                f = span_features(text, borders[i], borders[j])
+            if piece[-1].isalnum() and (number or (at and borders[j] >= at[1])):
+                f = span_features(text, start, borders[j])
                 if f is not None:
                     found.append((i, j, f))
     return borders, found
@@ -174,11 +253,16 @@ class Field:
         self.follow = np.zeros((5, 5)) if follow is None else follow
 
     def scores(self, found) -> np.ndarray:
-        none = np.zeros(4)
-        return np.array([sum((self.weights.get(f, none) for f in fs), none) for _, _, fs in found]).reshape(-1, 4)
+        none, known, out = np.zeros(4), {}, np.zeros((len(found), 4))
+        for k, (_, _, fs) in enumerate(found):
+            look = tuple(fs)
+            if look not in known:
+                known[look] = sum((self.weights.get(f, none) for f in fs), none)
+            out[k] = known[look]
+        return out
 
     def decode(self, n: int, found, scores: np.ndarray) -> list[tuple[int, int, int]]:
-        """(first token, end token, kind) of the entities of the best segmentation."""
+        """(first token, end token, kind) of the entities of the best segmentation of n tokens."""
         ending: dict[int, list[int]] = {}
         for k, (_, j, _) in enumerate(found):
             ending.setdefault(j, []).append(k)
@@ -186,18 +270,19 @@ class Field:
         back: list[list] = [[None] * 5 for _ in range(n + 1)]
         best[0][4] = 0.0
         follow = self.follow.tolist()
+        values = scores.tolist()
+        into: list = [None] * (n + 1)  # of each border: the best way to begin a segment of each kind there
         for j in range(1, n + 1):
-            for prev in range(5):
-                v = best[j - 1][prev] + follow[prev][4]
-                if v > best[j][4]:
-                    best[j][4], back[j][4] = v, (j - 1, prev)
+            before = best[j - 1]
+            into[j - 1] = [max((before[prev] + follow[prev][kind], -prev) for prev in range(5)) for kind in range(5)]
+            best[j][4], prev = into[j - 1][4]
+            back[j][4] = (j - 1, -prev)
             for k in ending.get(j, ()):
                 i = found[k][0]
                 for kind in range(4):
-                    for prev in range(5):
-                        v = best[i][prev] + follow[prev][kind] + scores[k][kind]
-                        if v > best[j][kind]:
-                            best[j][kind], back[j][kind] = v, (i, prev)
+                    v = into[i][kind][0] + values[k][kind]
+                    if v > best[j][kind]:
+                        best[j][kind], back[j][kind] = v, (i, -into[i][kind][1])
         out, j, kind = [], n, max(range(5), key=lambda y: best[n][y])
         while j:
             i, prev = back[j][kind]
@@ -305,16 +390,19 @@ def _ordinary(rng: random.Random) -> str:
     ])
 
 
-def _examples(texts: list[str], rng: random.Random) -> list:
-    places: list[tuple[str, int, str, str]] = []
-    plain: list[str] = []
-    for text in texts:
-        spans = pattern_spans(text)
-        for a, kind, b in spans[:3]:
-            places.append((text[max(0, a - BESIDE) : a], kind, text[a:b], text[b : b + BESIDE]))
-        if not spans and len(text) > 4 * BESIDE:
-            at = rng.randrange(len(text) - 2 * BESIDE)
-            plain.append(text[at : at + 2 * BESIDE])
+def _places(text: str) -> list[tuple[str, int, str, str]]:
+    """(left, kind, span, right) of a text's first short spans; of a text without one a piece from its middle (kind -1)."""
+    spans = pattern_spans(text)
+    if not spans:
+        middle = len(text) // 2
+        return [("", -1, text[middle : middle + 2 * BESIDE], "")] if len(text) > 4 * BESIDE else []
+    short = [x for x in spans if x[2] - x[0] <= SPAN_CHARS][:PLACES]
+    return [(text[max(0, a - BESIDE) : a], kind, text[a:b], text[b : b + BESIDE]) for a, kind, b in short]
+
+
+def _examples(taken: list[tuple[str, int, str, str]], rng: random.Random) -> list:
+    places = [p for p in taken if p[1] >= 0]
+    plain = [p[2] for p in taken if p[1] < 0]
     rng.shuffle(places)
     places = places[: TRAIN_WINDOWS // 2]
     beside = [p[:BESIDE] for p in plain] or ["of the and "]
@@ -327,7 +415,7 @@ def _examples(texts: list[str], rng: random.Random) -> list:
         if _TOKEN.match(left[-1:] or " ") and pattern_spans(left) + pattern_spans(right):
             left, right = "", ""
         text = left + middle + right
-        borders, found = segments(text, [])
+        borders, found = segments(text, 0, len(text), [])
         gold = {}
         if kind is not None:
             a, b = len(left), len(left) + len(middle)
@@ -348,13 +436,23 @@ def _examples(texts: list[str], rng: random.Random) -> list:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
-    """A field from the SAMPLE documents with the least hash of their id."""
-    ids = docs.select(F.col(key).alias("__key")).orderBy(F.xxhash64("__key"), "__key").limit(SAMPLE)
+    """A field from the SAMPLE documents with the least hash of their id, of those with a digit or "@"."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
+    ids = rows.filter(F.col("t").rlike("[0-9@]")).select("h").orderBy("h").limit(SAMPLE)
     ids = F.broadcast(materialize(ids.distinct(), "sample"))  # SAMPLE rows at most
-    has = F.col(text).rlike("[0-9@]") | (F.pmod(F.xxhash64(key), F.lit(4)) == 0)
-    rows = docs.join(ids, docs[key].eqNullSafe(ids["__key"])).filter(has).select(F.col(text).alias("t")).orderBy(F.xxhash64("t")).limit(SAMPLE // 3).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                found = _places(t.as_py() or "")
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int32() if k == 1 else pa.string()) for k in range(4)], names=["l", "kind", "span", "r"])
+
+    # short pieces only, PLACES for each document (a document's copies, as equal rows, are one)
+    taken = rows.join(ids, "h").select("t").mapInArrow(run, "l string, kind int, span string, r string").distinct()
+    taken = taken.orderBy("span", "kind", "l", "r").limit(SAMPLE * PLACES).collect()
     field = Field()
-    field.learn(_examples([r[0] for r in rows if r[0]], random.Random(5)))
+    field.learn(_examples([tuple(r) for r in taken], random.Random(5)))
     return field
 
 
@@ -363,30 +461,23 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
 
 def added_spans(text: str, field: Field, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that the field adds to the patterns'."""
-    cover = sorted((a, b) for a, _, b in base)
-    windows: list[list[int]] = []
-    k = 0
-    for m in _PLACE.finditer(text):
-        while k < len(cover) and cover[k][1] <= m.start():
-            k += 1
-        if k < len(cover) and cover[k][0] < m.end():
-            continue
-        a, b = max(0, m.start() - BESIDE), m.end() + BESIDE
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = b
+    cover: list[tuple[int, int]] = []  # apart and in order
+    for a, _, b in sorted(base):
+        if cover and a <= cover[-1][1]:
+            cover[-1] = (cover[-1][0], max(b, cover[-1][1]))
         else:
-            windows.append([a, b])
+            cover.append((a, b))
+    ends = [b for _, b in cover]
     out = []
-    for a, b in windows:
-        # a window begins and ends at a token's border, so that no token is cut in two
-        while a > 0 and not text[a - 1].isspace() and not text[a].isspace() and a > windows[0][0] - 400:
-            a -= 1
-        part = text[a:b]
-        borders, found = segments(part, [(x - a, y - a) for x, y in cover if x < b and y > a])
-        if not found:
-            continue
-        for i, j, kind in field.decode(len(borders) - 1, found, field.scores(found)):
-            out.append((a + borders[i], kind, a + borders[j]))
+    for begin, end in stretches(text):
+        near = bisect.bisect_right(ends, begin)
+        upto = near
+        while upto < len(cover) and cover[upto][0] < end:
+            upto += 1
+        borders, found = segments(text, begin, end, cover[near:upto])
+        if found:
+            for i, j, kind in field.decode(len(borders) - 1, found, field.scores(found)):
+                out.append((borders[i], kind, borders[j]))
     return out
 
 

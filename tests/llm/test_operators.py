@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +227,14 @@ def test_shards(spark, odd, none):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     whole = [len(s) == 1 for raw, s in groups.items() if raw != b"text 0"]
     assert sum(whole) >= 0.95 * len(whole)
+    # links between different shards, pair by pair; the large group does not fit into one shard
+    place = defaultdict(list)
+    for r in got:
+        place[(text[r.doc_id] or "").encode()].append(r.shard)
+    cut = {raw: sum(a != b for k, a in enumerate(s) for b in s[:k]) for raw, s in place.items()}
+    links = {raw: len(s) * (len(s) - 1) // 2 for raw, s in place.items()}
+    assert sum(n for raw, n in cut.items() if raw != b"text 0") <= 0.1 * sum(n for raw, n in links.items() if raw != b"text 0")
+    assert sum(cut.values()) <= 7 / 8 * sum(links.values())
     assert balanced_shards.assign(none).count() == 0
 
 
@@ -295,6 +305,82 @@ def test_pii_field(spark, odd, none):
     assert pii_spans.find(none, field, ["doc_id"]).count() == 0
 
 
+def _every_segmentation(text, field, blocked):
+    """The best score and spans of all segmentations of all tokens of a text, one by one."""
+    borders = [0, *(m.end() for m in pii_spans._TOKEN.finditer(text))]
+    n = len(borders) - 1
+    entities = defaultdict(list)
+    for i in range(n):
+        if not (text[borders[i]].isalnum() or text[borders[i]] in "+("):
+            continue
+        for j in range(i + 1, min(n, i + pii_spans.MAX_TOKENS) + 1):
+            a, b = borders[i], borders[j]
+            if text[b - 1].isalnum() and not any(x < b and y > a for x, y in blocked):
+                f = pii_spans.span_features(text, a, b)
+                if f is not None:
+                    entities[i].append((j, field.scores([(i, j, f)])[0]))
+
+    def ways(i, prev):
+        if i == n:
+            yield 0.0, ()
+            return
+        for v, rest in ways(i + 1, 4):
+            yield field.follow[prev][4] + v, rest
+        for j, s in entities[i]:
+            for kind in range(4):
+                for v, rest in ways(j, kind):
+                    yield field.follow[prev][kind] + s[kind] + v, ((borders[i], kind, borders[j]), *rest)
+
+    return max(ways(0, 4), key=lambda w: w[0])
+
+
+class _AnyWeights(dict):
+    """A weight between -1 and 2 for every feature."""
+
+    def get(self, key, default=None):
+        return np.array([zlib.crc32(f"{key} {k}".encode()) % 1000 for k in range(4)]) / 333 - 1
+
+
+def test_pii_field_is_the_best_of_all_segmentations():
+    follow = np.array([[zlib.crc32(f"{a} {b}".encode()) % 100 / 50 - 1 for b in range(5)] for a in range(5)])
+    field = pii_spans.Field(_AnyWeights(), follow)
+    rng = random.Random(12)
+    parts = ["a", "bo", " ", "@", "[at]", ".", "12", "4155550134", "+", "(", ")", "-", "10.2.3.4", "x@y.de"]
+    seen = 0
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 7)))
+        if len(pii_spans._TOKEN.findall(text)) > 11:  # their number doubles with each token
+            continue
+        base = pii_spans.pattern_spans(text)
+        value, spans = _every_segmentation(text, field, [(a, b) for a, _, b in base])
+        got = pii_spans.added_spans(text, field, base)
+        seen += len(spans)
+        if got != list(spans):  # two segmentations may be equally good
+            borders = [0, *(m.end() for m in pii_spans._TOKEN.finditer(text))]
+            at, prev, total = 0, 4, 0.0
+            by = {a: (k, b) for a, k, b in got}
+            while at < len(text):
+                kind, end = by.get(at, (4, borders[borders.index(at) + 1]))
+                total += field.follow[prev][kind] + (field.scores([(0, 0, pii_spans.span_features(text, at, end))])[0][kind] if kind < 4 else 0)
+                at, prev = end, kind
+            assert total == pytest.approx(value)
+    assert seen > 20
+
+
+def test_pii_in_long_texts_without_spaces():
+    field = pii_spans.Field()
+    field.learn(pii_spans._examples([], random.Random(5)))
+    for piece in ("x" * 130 + "name[at]host[dot]org,", "é" * 140 + "x@", "(" * 50):
+        text = (piece * (1 << 20))[: 1 << 20]
+        began = time.time()
+        spans = pii_spans.added_spans(text, field, pii_spans.pattern_spans(text))
+        assert time.time() - began < 60
+        assert len(spans) == len(set(spans)) and all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    phones = "call (415) 555-0134 " + "word " * 18 + "or (415) 555-0199 now"
+    found = pii_spans.added_spans(phones, field, [])
+    assert [phones[a:b] for a, _, b in found] == ["(415) 555-0134", "(415) 555-0199"]
+
+
 def test_toxicity_finds_planted_words(spark, odd, none):
     rng = random.Random(9)
     plain = [f"word{k}" for k in range(300)]

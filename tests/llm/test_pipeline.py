@@ -3,12 +3,13 @@
 import re
 
 import duckdb
+import pytest
 import sentencepiece
 
 import corpus_pipeline
 from quarryline.llm import sentencepieces
 from quarryline.llm.common import read_table
-from tests.llm.test_operators import WORD, _brute_components, _brute_windows
+from tests.llm.test_operators import ODD, WORD, _brute_components, _brute_windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,7 +59,8 @@ def test_pipeline_is_the_plain_version(spark):
     sets, tops = _brute_components(docs, 5, 80, 100)
     first: dict = {}
     docs = [x for x, s, t in zip(docs, sets, tops, strict=True) if not s or first.setdefault(t, x[0]) == x[0]]
-    bad = {r[0] for r in _brute_windows(docs, items) if r[5]}
+    bad = {r[0] for r in _brute_windows(docs, items) if r[3]}  # windows of any item
+    assert bad
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
     want = {d: sp.encode(t) for d, t in docs if d not in bad}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
@@ -66,6 +68,31 @@ def test_pipeline_is_the_plain_version(spark):
     assert all(r.decoded == sp.decode(list(r.ids)) and r.n_tokens == len(r.ids) for r in got.values())
 
 
+def test_a_passage_of_one_item_is_dropped(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(1).first()
+    words = re.findall(r"\w+", items.text)[:8]
+    assert len(words) == 8
+    own = " ".join(f"own{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, f"{own} {' '.join(words)} {own}"), (2, own), (3, f"{own} {' '.join(words[:7])}")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_and_empty_tables(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    odd = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_words long")
+    got = stage(spark, odd, SF)
+    rows = got.collect()
+    if name == "tokens":
+        assert len(rows) == len(ODD) and all(r.n_tokens == len(r.ids) for r in rows)
+    else:
+        assert got.columns == odd.columns
+        kept = sorted(str(r.doc_id) for r in rows)
+        want = {"quality": [4, 5, 5, 6, 9], "near_duplicates": [1, 2, 3, 4, 7, 8, None], "decontaminate": [r[0] for r in ODD]}.get(name)
+        assert want is None or kept == sorted(map(str, want))
+    assert stage(spark, odd.limit(0), SF).count() == 0
+
+
 def test_all_but_the_last_stage_keep_the_columns(spark):
     docs = read_table(spark, SF, "documents").limit(20)
     for _, stage in corpus_pipeline.STAGES[:-1]:
