@@ -27,7 +27,7 @@ from quarryline.llm.common import read_table, ship
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 100_000
 
 
 def default_model() -> str:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are turned into word hashes at a time (a longer text is taken alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 
