@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: elements of a sequence that are compared.
 CAP = 400
 
 
@@ -52,6 +53,18 @@ def members(units: DataFrame, clusters: DataFrame, lang: str, key: str, digest:
     return units.join(first, [lang, digest]).select(key, "representative", "component")
 
 
+def weakest(pairs: DataFrame, clusters: DataFrame, score: str) -> DataFrame:
+    """component, value: 100 times the least score among the pairs (x, y, score) of each cluster (node, component)."""
+    inside = pairs.join(clusters.select(F.col("node").alias("x"), "component"), "x")
+    return inside.groupBy("component").agg(F.bround(100 * F.min(score)).cast("long").alias("value"))
+
+
+def unreported(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """pairs (x, y, ...) that known (x, y) doesn't have in either order."""
+    told = known.select(F.least("x", "y").alias("__a"), F.greatest("x", "y").alias("__b")).distinct()
+    return pairs.join(told, (F.least("x", "y") == F.col("__a")) & (F.greatest("x", "y") == F.col("__b")), "left_anti")
+
+
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, a row of the table at a time."""
     row = np.zeros(len(b) + 1, np.int64)

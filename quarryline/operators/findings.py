@@ -13,13 +13,13 @@ def suppressed(findings: DataFrame, directives: DataFrame) -> DataFrame:
     """findings (file, line, metric, ...) with suppressed: a directive for the whole file (null line), the
     same line or the line above covers the metric (null: all)."""
     named = findings.withColumn("__id", F.monotonically_increasing_id())
-    d = directives.select(F.col("file").alias("__f"), F.col("line").alias("__l"), F.col("metric").alias("__m")).distinct()
-    hit = (
-        (named["file"] == d["__f"])
-        & (d["__l"].isNull() | (d["__l"] == named["line"]) | (d["__l"] == named["line"] - 1))
-        & (d["__m"].isNull() | (d["__m"] == named["metric"]))
-    )
-    marked = named.join(d, hit, "left").groupBy("__id", *findings.columns).agg(F.max(F.col("__f").isNotNull()).alias("suppressed"))
+    d = directives.select(F.col("file").alias("__f"), F.col("line").cast("long").alias("__l"), F.col("metric").alias("__m")).distinct()
+    # each finding asks for all (line, metric) keys that would cover it, so the join has equal keys only
+    lines = F.array(F.col("line").cast("long"), F.col("line").cast("long") - 1, F.lit(None).cast("long"))
+    keys = F.array_distinct(F.flatten(F.transform(lines, lambda x: F.array(F.struct(x.alias("l"), F.col("metric").alias("m")), F.struct(x.alias("l"), F.lit(None).cast("string").alias("m"))))))
+    asked = named.withColumn("__k", F.explode(keys))
+    hit = (asked["file"] == d["__f"]) & asked["__k.l"].eqNullSafe(d["__l"]) & asked["__k.m"].eqNullSafe(d["__m"])
+    marked = asked.join(d, hit, "left").groupBy("__id", *findings.columns).agg(F.max(F.col("__f").isNotNull()).alias("suppressed"))
     return marked.drop("__id")
 
 

@@ -1,4 +1,9 @@
-"""Joins of positions with nested intervals. Every join has an equi key (file), so none is a product."""
+"""Joins of positions with nested intervals.
+
+A span is filed in bins of its own order of size (powers of 16, LEVELS of them): it touches two of
+them at most. A position looks into the one bin of each order that it lies in. So joins have the
+equal keys (file, order, bin), and a file with very many spans is no product.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def containing(points: DataFrame, spans: DataFrame, file: str, lo: str, hi: str, strict: bool = False) -> DataFrame:
-    """points joined with all spans (file, s_id, s_lo, s_hi) that contain [lo, hi]."""
-    on = (points[file] == spans[file]) & (spans["s_lo"] <= points[lo]) & (points[hi] <= spans["s_hi"])
-    return points.join(spans, on).drop(spans[file])
+#: Orders of size: spans are shorter than 16 ** (LEVELS - 1).
+LEVELS = 13
+
+
+def _binned_points(points: DataFrame, lo: str) -> DataFrame:
+    points = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    return points.withColumn("__bin", F.expr(f"shiftright(cast(`{lo}` as bigint), 4 * __level)"))
+
+
+def _binned_spans(spans: DataFrame) -> DataFrame:
+    size = F.ceil(F.log2(F.greatest(F.col("s_hi") - F.col("s_lo"), F.lit(0)) + 1) / 4).cast("int")
+    spans = spans.withColumn("__level", F.least(size, F.lit(LEVELS - 1)))
+    ends = F.expr("sequence(shiftright(cast(s_lo as bigint), 4 * __level), shiftright(cast(greatest(s_lo, s_hi) as bigint), 4 * __level))")
+    return spans.withColumn("__bin", F.explode(ends))
+
+
+def containing(points: DataFrame, spans: DataFrame, file: str, lo: str, hi: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """points joined with all spans (file, s_id, s_lo, s_hi) that contain [lo, hi] and agree in the columns of also."""
+    p, s = _binned_points(points, lo), _binned_spans(spans)
+    inside = p.join(s, [file, *also, "__level", "__bin"])
+    return inside.filter((F.col("s_lo") <= F.col(lo)) & (F.col(hi) <= F.col("s_hi"))).drop("__level", "__bin")
 
 
 def innermost(points: DataFrame, spans: DataFrame, file: str, key: str, lo: str, hi: str) -> DataFrame:
@@ -35,8 +57,7 @@ def nearest_definition(refs: DataFrame, defs: DataFrame, file: str, name: str, k
     Of several definitions in a scope the first counts; references without one are left out.
     """
     first = defs.groupBy(file, name, "s_id", "s_lo", "s_hi").agg(F.min("d_id").alias("d_id"))
-    on = (refs[file] == first[file]) & (refs[name] == first[name]) & (first["s_lo"] <= refs[lo]) & (refs[hi] <= first["s_hi"])
-    found = refs.join(first, on).groupBy(refs[key]).agg(F.min(F.struct((F.col("s_hi") - F.col("s_lo")).alias("w"), F.col("s_id"), F.col("d_id"))).alias("b"))
+    found = containing(refs, first, file, lo, hi, (name,)).groupBy(key).agg(F.min(F.struct((F.col("s_hi") - F.col("s_lo")).alias("w"), F.col("s_id"), F.col("d_id"))).alias("b"))
     return found.select(key, F.col("b.d_id").alias("def"))
 
 

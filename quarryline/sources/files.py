@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from quarryline.operators.findings import ignored
 
 # Extensions (lower case) and their languages.
 LANGUAGES = {
-    "bash": "bash", "sh": "bash", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "go": "go", "java": "java", "js": "javascript",
-    "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "jl": "julia", "php": "php", "py": "python", "pyi": "python", "rb": "ruby", "rs": "rust", "ts": "typescript", "tsx": "typescript",
+    "bash": "bash", "sh": "bash", "zsh": "bash", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "go": "go", "java": "java", "js": "javascript",
+    "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "jl": "julia", "php": "php", "py": "python", "rb": "ruby", "rs": "rust", "ts": "typescript", "tsx": "typescript",
 }
 
 
@@ -23,35 +24,46 @@ def language(path):
 
 
 def read_sources(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
-    """file (below root), lang, source: all files of a known language; dot folders and ignored paths are pruned before reading."""
+    """file (below root), lang, source: all files of a known language, but for dot folders and ignored paths.
+
+    Paths are listed without content; only the files that stay are opened, in the tasks that their
+    paths are dealt to.
+    """
     base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length")
     file = F.regexp_replace(F.col("path"), "^.*?" + re.escape(re.sub("^[a-z]+:/*", "/", base)) + "/", "")
-    found = found.withColumn("file", file).withColumn("lang", language(F.col("file")))
-    found = found.filter(F.col("lang").isNotNull() & ~F.col("file").rlike(r"(^|/)\.[^/]+/") & ~ignored(F.col("file"), patterns or []))
+    listed = listed.withColumn("file", file).withColumn("lang", language(F.col("file")))
+    listed = listed.filter(F.col("lang").isNotNull() & ~F.col("file").rlike(r"(^|/)\.[^/]+/") & ~ignored(F.col("file"), patterns or []))
+    paths = [r["path"] for r in listed.select("path").distinct().collect()]  # names only, as the driver lists them anyway
+    if not paths:
+        return listed.select("file", "lang", F.lit("").alias("source"))
+    found = spark.read.format("binaryFile").load(paths).withColumn("file", file).withColumn("lang", language(F.col("file")))
     return found.select("file", "lang", F.decode("content", "UTF-8").alias("source"))
 
 
+_HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+
+
 def changed_lines(diff: str) -> list[tuple[str, int, int]]:
-    """(file, first, last) runs of added or changed lines, on the new side of a unified diff."""
-    out: list[tuple[str, int, int]] = []
-    file, line, old_left, new_left = None, 0, 0, 0
-    for text in diff.split("\n"):
-        if old_left > 0 or new_left > 0:  # inside a hunk, so that "--- " and "+++ " are body lines
-            if text.startswith("+"):
-                if out and out[-1][0] == file and out[-1][2] == line - 1:
-                    out[-1] = (file, out[-1][1], line)
-                elif file is not None:
-                    out.append((file, line, line))
-                line, new_left = line + 1, new_left - 1
-            elif text.startswith("-"):
-                old_left -= 1
-            elif not text.startswith("\\"):
-                line, old_left, new_left = line + 1, old_left - 1, new_left - 1
-            continue
-        if text.startswith("+++ "):
-            name = text[4:].split("\t")[0]
-            file = None if name == "/dev/null" else name.removeprefix("b/")
-        elif m := re.match(r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", text):
-            old_left, line, new_left = int(m[1] or 1), int(m[2]), int(m[3] or 1)
-    return out
+    """(file, first, last) runs of added or changed lines, on the new side of a unified diff.
+
+    The diff is split at its hunks (no line of a body begins with "@"). Running counts of a body's
+    old and new lines tell where it ends and number its added lines; names are looked for between.
+    """
+    lines = diff.split("\n")
+    found: list[tuple[str, int]] = []
+    name, after = "", 0
+    for at in (k for k, x in enumerate(lines) if _HUNK.match(x)):
+        old, first, new = (int(x) if x else 1 for x in _HUNK.match(lines[at]).groups())
+        name = next((x[4:].split("\t")[0] for x in reversed(lines[after:at]) if x.startswith("+++ ")), name)
+        body = [x[:1] or " " for x in lines[at + 1 : at + 3 + old + new]]
+        olds = list(itertools.accumulate(c in " -" for c in body))
+        news = list(itertools.accumulate(c in " +" for c in body))
+        size = next((k + 1 for k in range(len(body)) if olds[k] >= old and news[k] >= new), len(body)) if old or new else 0
+        after = at + 1 + size
+        if name and name != "/dev/null":
+            found += [(name.removeprefix("b/"), first + news[k] - 1) for k in range(size) if body[k] == "+"]
+    runs = itertools.groupby(enumerate(found), key=lambda x: (x[1][0], x[1][1] - x[0]))
+    spans = [[line for _, (_, line) in run] for _, run in ((key, list(run)) for key, run in runs)]
+    names = [key[0] for key, _ in itertools.groupby(enumerate(found), key=lambda x: (x[1][0], x[1][1] - x[0]))]
+    return [(file, span[0], span[-1]) for file, span in zip(names, spans, strict=True)]

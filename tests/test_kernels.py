@@ -13,7 +13,7 @@ def test_percentile_counts_values_no_greater(spark):
 
 @pytest.mark.parametrize(
     ("name", "parts"),
-    [("parseHTTPResponse", ["parse", "http", "response"]), ("read_file2", ["read", "file2"]), ("x", []), ("is_a_42", ["is"]), ("fooBar", ["foo", "bar"]), ("", [])],
+    [("parseHTTPResponse", ["parse", "http", "response"]), ("read_file2", ["read", "file2"]), ("x", []), ("is_a_42", ["is"]), ("fooBar", ["foo", "bar"]), ("", []), ("ABC1d", ["abc1d"]), ("ABcD2Ef", ["bc", "d2", "ef"]), ("__x1__HTTP", ["x1", "http"])],
 )
 def test_subtokens(spark, name, parts):
     from pyspark.sql import functions as F
@@ -53,6 +53,59 @@ def test_near_clone_lcs_query(spark):
     assert got == pytest.approx(want)
 
 
+def test_components_are_brute_force(spark):
+    import duckdb
+
+    from quarryline.plans import table_queries as t
+
+    sf = "/root/testdata/sf0.001"
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for c, o in duckdb.sql(f"SELECT o_custkey, o_orderkey FROM '{sf}/orders.parquet'").fetchall():
+        a, b = top(c), top((c * 31 + o) % 4000)
+        up[max(a, b)] = min(a, b)
+    assert {r.node: r.component for r in t.QUERIES["connected_components"](spark, sf).collect()} == {x: top(x) for x in list(up)}
+
+
+def test_intervals_are_brute_force(spark):
+    from quarryline.operators import intervals
+
+    rng = np.random.default_rng(4)
+    spans = [(1, k, int(a), int(a + n)) for k, (a, n) in enumerate(zip(rng.integers(-50, 5000, 300), rng.integers(0, 3000, 300), strict=True), 1)]
+    points = [(1, k, int(a), int(a) + 3) for k, a in enumerate(rng.integers(-60, 8000, 200))]
+    got = {r.p: r.unit for r in intervals.innermost(spark.createDataFrame(points, "file int, p long, lo long, hi long"), spark.createDataFrame(spans, "file int, s_id long, s_lo long, s_hi long"), "file", "p", "lo", "hi").collect()}
+    want = {p: min(((h - l, s) for _, s, l, h in spans if l <= lo and hi <= h), default=(0, 0))[1] for _, p, lo, hi in points}
+    assert got == want
+
+
+def test_rules_and_gate(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.operators import gate
+
+    lines = gate.Rule("lines", "scalar", lambda n: n.groupBy("file").agg(F.count(F.lit(1)).alias("value")).withColumn("unit", F.lit("")), 2, 3)
+    empty = gate.Rule("empty", "flag", lambda n: n.limit(0))
+    assert [r.name for r in gate.chosen([lines, empty], "scalar")] == ["lines"] and gate.metric_names([lines, empty]) == {"lines", "empty"}
+    assert gate.chosen([lines], bands={"lines": (5, 9)})[0].high == 9
+    for bad in (lambda: gate.chosen([lines], only={"other"}), lambda: gate.Rule("x", "scalar", lambda n: n), lambda: gate.Rule("x", "sum", lambda n: n)):
+        with pytest.raises(ValueError):
+            bad()
+    n = spark.createDataFrame([("a",), ("a",), ("b",)], "file string")
+    assert sorted((r.file, r.value, r.high) for r in gate.measured(n, [lines, empty]).collect()) == [("a", 2, 3), ("b", 1, 3)]
+    f = spark.createDataFrame([("m", "a", 1, 9, "high", False), ("m", "a", 2, 8, "high", True), ("n", "b", 1, 7, "warn", False), ("n", "b", 3, 9, "high", None)], "metric string, file string, line int, value int, absolute string, suppressed boolean")
+    assert [(r.metric, r.line) for r in gate.ordered(gate.errors(f, None, ["metric"], ["line"]), ["n", "m"]).collect()] == [("n", 3), ("m", 1)]
+
+
+def test_pairs_that_were_reported(spark):
+    pairs = spark.createDataFrame([(1, 2), (3, 2), (4, 5)], "x int, y int")
+    assert [(r.x, r.y) for r in clones.unreported(pairs, spark.createDataFrame([(2, 1), (2, 3)], "x int, y int")).collect()] == [(4, 5)]
+
+
 def test_every_clone_is_a_member(spark):
     units = spark.createDataFrame([(1, "html", "a"), (2, "html", "a"), (3, "html", "b"), (4, "html", "b"), (5, "html", "c"), (6, "html", "c")], "id long, lang string, d string")
     clusters = spark.createDataFrame([(1, 1), (3, 1)], "node long, component long")

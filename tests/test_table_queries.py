@@ -1,6 +1,6 @@
 import pytest
 
-from quarryline.plans import table_queries as t
+from quarryline.plans import code_queries, table_queries as t  # noqa: F401
 from tests.oracle import assert_same
 
 
