@@ -124,7 +124,7 @@ def flags(nodes: DataFrame) -> DataFrame:
 def directives(nodes: DataFrame, keyword: str = "quarry") -> DataFrame:
     """file, line (null: whole file), metric (null: all) from comments like "# quarry: ignore[a, b]" and "# quarry: ignore-file"."""
     c = nodes.filter(has("comment")).select("file", "row", F.regexp_extract("text", rf"(?i){keyword}:\s*(ignore(?:-file)?)(?:\[([^\]]*)\])?", 1).alias("k"), F.regexp_extract("text", rf"(?i){keyword}:\s*ignore(?:-file)?\[([^\]]*)\]", 1).alias("m"))
-    c = c.filter("k <> ''").withColumn("metric", F.explode(F.when(F.col("m") == "", F.array(F.lit(None).cast("string"))).otherwise(F.transform(F.split("m", ","), F.trim))))
+    c = c.filter("k <> ''").withColumn("metric", F.explode(F.when(F.col("m") == "", F.array(F.lit(None).cast("string"))).otherwise(F.transform(F.split("m", ","), lambda x: F.trim(x)))))
     return c.select("file", F.when(F.lower("k") == "ignore", F.col("row")).alias("line"), "metric")
 
 
