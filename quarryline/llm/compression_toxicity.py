@@ -40,7 +40,7 @@ from quarryline.llm.common import materialize, read_table, ship
 WINDOW = 32
 #: Labelled rows that are learnt from, at most, and bytes of training text: ordinary and toxic.
 SAMPLE = 20_000
-LEARN_BYTES = (8 << 20, 4 << 20)
+LEARN_BYTES = (5 << 20, 2 << 20)
 #: Bytes of the ordinary dictionary, and of the part that the toxic one has besides.
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 1 << 10
 #: Windows that the ordinary dictionary is trained on: with more the library fills it with rare ones.
@@ -128,13 +128,13 @@ def _grams(windows_of: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nd
     """The windows' bytes one after the other, a number for the run of GRAM bytes at each place (0: crosses a border), and its text."""
     flat = [w for ws in windows_of for w in ws]
     data = np.frombuffer(b"".join(flat), np.uint8)
-    sizes = np.array([len(w) for w in flat], np.int64)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+    sizes = np.array([len(w) for w in flat], np.int32)
+    left = np.repeat(np.cumsum(sizes, dtype=np.int32), sizes) - np.arange(len(data), dtype=np.int32)
     code = np.zeros(len(data), np.uint64)
     for k in range(min(GRAM, 8)):
         code[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
     code[left < GRAM] = 0
-    owner = np.repeat(np.repeat(np.arange(len(windows_of)), [len(ws) for ws in windows_of]), sizes)
+    owner = np.repeat(np.repeat(np.arange(len(windows_of), dtype=np.int32), [len(ws) for ws in windows_of]), sizes)
     return data, code, owner
 
 
