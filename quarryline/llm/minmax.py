@@ -120,16 +120,17 @@ def _signatures(columns: list[str], size: int, per_band: int):
     return run
 
 
-def _sets(size: int):
-    """c and the sorted hashes of a class's set (8 bytes each), from a text that has it."""
+def _sets(size: int, wanted):
+    """Of the rows whose __id the bitmap wanted holds: the sorted hashes of the text's set (8 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, n, data, offsets in V.slices(batch.column("t")):
+        for whole in batches:
+            batch = whole.filter(pa.array(_in(wanted.value, np.asarray(whole.column("__id")).view(np.uint64))))
+            for first, n, data, offsets in V.slices(batch.column("__text")):
                 h, r = shingle_sets(data, offsets, size)
                 raw, ends = h.tobytes(), 8 * np.searchsorted(r, np.arange(n + 1))
                 sets = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("c").slice(first, n), pa.array(sets, pa.binary())], names=["c", "hashes"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in ("__key", "__th")), pa.array(sets, pa.binary())], names=["__key", "__th", "hashes"])
 
     return run
 
@@ -293,18 +294,13 @@ class _Linker:
         spark = need.sparkSession
         need = need.distinct().join(self.classes.select("c", "rep"), "c")
         need = self.keep(need.select("c", F.col("rep.key").alias("key"), F.col("rep.th").alias("th")), "need")
-        wanted = spark.sparkContext.broadcast(_bitmap(need, "th"))
-
-        def pick(batches):
-            for b in batches:
-                yield b.filter(pa.array(_in(wanted.value, np.asarray(b.column("__th")).view(np.uint64))))
-
+        wanted = spark.sparkContext.broadcast(_bitmap(need.select(F.xxhash64("key", "th").alias("id")), "id"))
         kind = self.docs.schema["__key"].dataType.simpleString()
-        some = self.docs.mapInArrow(pick, f"__key {kind}, __th long, __text string")
-        texts = need.join(some, need["key"].eqNullSafe(some["__key"]) & (need["th"] == some["__th"]))
-        one = texts.select("c", F.col("__text").alias("t")).mapInArrow(_sets(self.size), "c long, hashes binary")
+        some = self.docs.select("*", F.xxhash64("__key", "__th").alias("__id"))
+        some = some.mapInArrow(_sets(self.size, wanted), f"__key {kind}, __th long, hashes binary")
+        found = need.join(some, need["key"].eqNullSafe(some["__key"]) & (need["th"] == some["__th"])).select("c", "hashes")
         # rows that are there several times have the same set
-        return self.keep(one, "sets").dropDuplicates(["c"])
+        return self.keep(found, "sets").dropDuplicates(["c"])
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs (x, y) whose full sets are linked."""
