@@ -19,7 +19,7 @@ BANDS = {
     "parameter_count": (5, 8),
     "boolean_complexity": (4, 6),
 }
-OPTIONAL_BANDS = {"return_count": (4, 8), "local_count": (10, 15), "fan_out": (12, 20)}
+OPTIONAL_BANDS = {"return_count": (4, 8), "local_count": (10, 15), "fan_out": (12, 20), "npath": (200, 1000)}
 # Operators that may well have equal operands.
 IDEMPOTENT = ("Add", "Mult", "Pow", "LShift", "RShift", "Div", "NotEq")
 CLONE_SIZE = 10
@@ -30,7 +30,7 @@ def has(concept: str):
 
 
 def units(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(has("function")).select("file", F.col("nid").alias("unit"), "name", F.col("row").alias("line"), "end_row", "last", "hash", "size")
+    return nodes.filter(has("function")).select("file", F.col("nid").alias("unit"), "name", F.col("row").alias("line"), "end_row", "last", "hash", "size", "paths")
 
 
 def _above(nodes: DataFrame, inner, outer, strict: bool) -> DataFrame:
@@ -69,13 +69,23 @@ def scalars(nodes: DataFrame, optional: bool = False) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     out = out.select(
         "file", "unit", "name", "line", F.col("cyclomatic"), (zero("cost") + zero("runs")).alias("cognitive_complexity"), (F.col("end_row") - F.col("line") + 1).cast("long").alias("function_length"),
-        *(zero(c).alias(c) for c in ("nesting_depth", "parameter_count", "boolean_complexity", "return_count", "local_count", "fan_out")),
+        *(zero(c).alias(c) for c in ("nesting_depth", "parameter_count", "boolean_complexity", "return_count", "local_count", "fan_out")), F.col("paths").alias("npath"),
     )
     chosen = [*BANDS, *(OPTIONAL_BANDS if optional else [])]
     return out.unpivot(["file", "unit", "name", "line"], chosen, "metric", "value")
 
 
-def flags(nodes: DataFrame) -> DataFrame:
+def wrappers(nodes: DataFrame) -> DataFrame:
+    """Functions whose body is one call, alone or returned."""
+    inside = nodes.filter(F.array_contains("concepts", "function_body")).select("file", F.col("nid").alias("parent"), F.col("parent").alias("function"))
+    parts = nodes.filter(~has("trivial") & ~has("comment")).join(inside, ["file", "parent"])
+    alone = parts.groupBy("file", "function").agg(F.count(F.lit(1)).alias("m"), F.first("nid").alias("parent"), F.first("type").alias("kind"))
+    alone = alone.filter((F.col("m") == 1) & F.col("kind").isin("expr", "return"))
+    called = nodes.filter(has("call")).select("file", "parent").join(alone, ["file", "parent"]).select("file", F.col("function").alias("nid"))
+    return nodes.join(called, ["file", "nid"], "left_semi")
+
+
+def flags(nodes: DataFrame, optional: bool = False) -> DataFrame:
     """file, line, unit (name of a flagged function, else empty), metric."""
     mark = lambda df, metric, name=F.lit(""): df.select("file", F.col("row").alias("line"), name.alias("unit"), F.lit(metric).alias("metric"))
     n = nodes
@@ -114,6 +124,7 @@ def flags(nodes: DataFrame) -> DataFrame:
         mark(back.filter("fin"), "return_in_finally"),
         mark(dead, "unreachable_after_jump"),
         mark(unused, "unused_parameter"), mark(unbound, "unused_local"),
+        *([mark(wrappers(n), "trivial_wrapper", F.col("name"))] if optional else []),
     ]
     out = found[0]
     for part in found[1:]:
@@ -136,7 +147,7 @@ def analyze(nodes: DataFrame, cut: float = 0.95, optional: bool = False) -> Data
     s = s.withColumn("absolute", severity(F.col("value"), F.col("b.warn"), F.col("b.high"))).filter((F.col("absolute") != "ok") | (F.col("percentile") >= cut))
     s = s.select("metric", "file", "line", F.col("name").alias("unit"), "value", "absolute", "percentile", F.lit("scalar").alias("kind"))
     none = lambda t: F.lit(None).cast(t)
-    f = flags(nodes).select("metric", "file", "line", "unit", none("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
+    f = flags(nodes, optional).select("metric", "file", "line", "unit", none("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
     u = units(nodes).filter(F.col("size") >= CLONE_SIZE).withColumn("lang", F.lit("python")).withColumn("place", F.struct("file", "line"))
     d = u.join(exact_clusters(u, "lang", "hash", "place").drop("first"), ["lang", "hash"])
     d = d.select(F.lit("duplicate").alias("metric"), "file", "line", F.col("name").alias("unit"), F.col("members").cast("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))

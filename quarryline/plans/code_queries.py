@@ -49,6 +49,7 @@ _VALUES = {
     "return_count": ("a + 1", "1", "1"),
     "local_count": ("0", "1", "0"),
     "fan_out": ("0", "0", "b"),
+    "npath": ("pow(2, a)", "c + 2", "1"),
 }
 _NAMES = {"g": "guards_", "d": "deep_", "c": "calls_"}
 _SCALARS = " UNION ALL ".join(

@@ -18,7 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 SCHEMA = """file string, nid long, last long, parent long, depth int, type string, concepts array<string>, owner long, row int, end_row int,
-name string, text string, hash long, size int"""
+name string, text string, hash long, size int, paths long"""
+
+#: Fixed value: paths are not counted beyond.
+MOST_PATHS = 1_000_000_000
 
 _PLAIN = {
     ast.If: ("decision", "nesting", "conditional"),
@@ -42,6 +45,43 @@ _PLAIN = {
 }
 
 
+def in_turn(parts) -> int:
+    """Acyclic paths through nodes that follow each other."""
+    total = 1
+    for p in parts:
+        total = min(MOST_PATHS, total * paths(p))
+    return total
+
+
+def joints(test) -> int:
+    """How many times a condition goes on at an "and" or "or"; each is a path more."""
+    return sum(len(n.values) - 1 for n in ast.walk(test) if isinstance(n, ast.BoolOp))
+
+
+def paths(node) -> int:
+    """Acyclic paths through a node (npath): what follows multiplies, what is chosen from adds; functions
+    in it have their own."""
+    match node:
+        case ast.FunctionDef() | ast.AsyncFunctionDef():
+            return 1
+        case ast.If():
+            total = in_turn(node.body) + in_turn(node.orelse) + joints(node.test)
+        case ast.While():
+            total = in_turn([*node.body, *node.orelse]) + joints(node.test) + 1
+        case ast.For() | ast.AsyncFor():
+            total = in_turn([*node.body, *node.orelse]) + joints(node.iter) + 1
+        case ast.Match():
+            total = sum(in_turn(ast.iter_child_nodes(c)) for c in node.cases)
+        case ast.Try() | ast.TryStar():
+            arms = [node.body, *(h.body for h in node.handlers), node.orelse, node.finalbody]
+            total = sum(in_turn(a) for a in arms if a)
+        case ast.IfExp():
+            total = sum(paths(x) + joints(x) for x in (node.test, node.body, node.orelse)) - 1
+        case _:
+            total = in_turn(ast.iter_child_nodes(node))
+    return min(MOST_PATHS, total)
+
+
 class _Rows:
     def __init__(self, file: str):
         self.file, self.rows = file, []
@@ -49,7 +89,7 @@ class _Rows:
     def add(self, node, kind: str, concepts, parent: int, depth: int, owner: int | None, name="", text="") -> int:
         nid = len(self.rows)
         row, end = getattr(node, "lineno", 0), getattr(node, "end_lineno", 0) or 0
-        self.rows.append([self.file, nid, nid, parent, depth, kind, list(concepts), nid if owner == -2 else owner, row, end, name, text, 0, 1])
+        self.rows.append([self.file, nid, nid, parent, depth, kind, list(concepts), nid if owner == -2 else owner, row, end, name, text, 0, 1, None])
         return nid
 
     def close(self, nid: int, kids: list[int]) -> None:
@@ -67,6 +107,7 @@ class _Rows:
     def visit(self, node, parent: int, depth: int, owner) -> int:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             nid = self.add(node, "function", ["function"], parent, depth, -2, node.name)
+            self.rows[nid][14] = in_turn([node.args, *node.body])
             kids = []
             for a in [*node.args.posonlyargs, *node.args.args, *([node.args.vararg] if node.args.vararg else []), *node.args.kwonlyargs, *([node.args.kwarg] if node.args.kwarg else [])]:
                 before = a in node.args.posonlyargs or a in node.args.args
@@ -153,7 +194,7 @@ def parse(file: str, source: str) -> list[list]:
     for t in tokens:
         if t.type == tokenize.COMMENT:
             nid = len(rows.rows)
-            rows.rows.append([file, nid, nid, 0, 1, "comment", ["comment"], None, t.start[0], t.start[0], "", t.string, 0, 1])
+            rows.rows.append([file, nid, nid, 0, 1, "comment", ["comment"], None, t.start[0], t.start[0], "", t.string, 0, 1, None])
     return rows.rows
 
 

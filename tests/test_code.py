@@ -1,5 +1,7 @@
 import textwrap
 
+import pytest
+
 from quarryline.operators import code_metrics
 from quarryline.sources import files, python_code
 
@@ -83,6 +85,27 @@ def test_flags(spark):
     assert {m for m, _ in got} >= {"duplicate_branches"} and ("unused_parameter", line("def busy")) not in got
 
 
+@pytest.mark.parametrize(
+    ("body", "many"),
+    [
+        ("pass", 1), ("if x:\n  a()", 2), ("if x:\n  a()\nelse:\n  b()", 2), ("if x and y or z:\n  a()", 4), ("if x:\n  a()\nelif y and z:\n  b()\nelse:\n  c()", 4),
+        ("while x or y:\n  a()", 3), ("for i in x:\n  if i:\n    a()", 3), ("if x:\n  a()\nif y:\n  b()\nfor i in x:\n  c()", 8),
+        ("match x:\n  case 1:\n    a()\n  case _:\n    b()", 2), ("try:\n  a()\nexcept E:\n  b()\nfinally:\n  c()", 3), ("return a() if x > 0 and x < 9 else b()", 3),
+        ("def g():\n  if x:\n    a()\nreturn g", 1), ("if x:\n  a()\n" * 40, 1_000_000_000), ("with x:\n  if y:\n    a()", 2),
+    ],
+)
+def test_paths(body, many):
+    rows = python_code.parse("f.py", "def f(x):\n" + textwrap.indent(body, "  "))
+    assert next(r[14] for r in rows if r[5] == "function") == many
+
+
+def test_trivial_wrappers(spark):
+    code = "def a(x):\n    'Words.'\n    return b(x)\n\ndef b(x):\n    c(x)\n\ndef c(x):\n    y = a(x)\n    return y\n\ndef d(x):\n    return a(x) + 1\n\ndef e(x):\n    a(x)\n    pass\n"
+    got = code_metrics.flags(_nodes(spark, code), True).filter("metric = 'trivial_wrapper'").collect()
+    assert sorted((r.unit, r.line) for r in got) == [("a", 1), ("b", 5), ("e", 15)]
+    assert code_metrics.flags(_nodes(spark, code)).filter("metric = 'trivial_wrapper'").count() == 0
+
+
 def test_findings_and_directives(spark):
     got = code_metrics.analyze(_nodes(spark), cut=2.0).collect()
     clones = {(r.unit, r.value) for r in got if r.metric == "duplicate"}
