@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryline.functions.scoring import percentiles, severity
+from quarryline.operators import bindings
 from quarryline.operators.clones import exact_clusters
 from quarryline.operators.findings import suppressed
 
@@ -23,6 +24,7 @@ OPTIONAL_BANDS = {"return_count": (4, 8), "local_count": (10, 15), "fan_out": (1
 # Operators that may well have equal operands.
 IDEMPOTENT = ("Add", "Mult", "Pow", "LShift", "RShift", "Div", "NotEq")
 CLONE_SIZE = 10
+COHESION_BAND, COHESION_FILES = (4, 6), 5
 
 
 def has(concept: str):
@@ -124,7 +126,7 @@ def flags(nodes: DataFrame, optional: bool = False) -> DataFrame:
         mark(back.filter("fin"), "return_in_finally"),
         mark(dead, "unreachable_after_jump"),
         mark(unused, "unused_parameter"), mark(unbound, "unused_local"),
-        *([mark(wrappers(n), "trivial_wrapper", F.col("name"))] if optional else []),
+        *([mark(wrappers(n), "trivial_wrapper", F.col("name")), mark(bindings.shadowing(n), "shadowed_variable")] if optional else []),
     ]
     out = found[0]
     for part in found[1:]:
@@ -139,6 +141,16 @@ def directives(nodes: DataFrame, keyword: str = "quarry") -> DataFrame:
     return c.select("file", F.when(F.lower("k") == "ignore", F.col("row")).alias("line"), "metric")
 
 
+def low_cohesion(nodes: DataFrame, cut: float) -> DataFrame:
+    """file, line, unit, value, absolute, percentile of files whose functions fall into unconnected groups.
+
+    The place is the file's first function; with fewer than COHESION_FILES files there is no percentile.
+    """
+    groups = bindings.cohesion(nodes, bindings.bindings(nodes)).select("file", "line", "unit", F.col("components").cast("long").alias("value"))
+    scored = percentiles(groups, [], "value", least=COHESION_FILES).withColumn("absolute", severity(F.col("value"), *COHESION_BAND))
+    return scored.filter((F.col("absolute") != "ok") | (F.col("percentile") >= cut))
+
+
 def analyze(nodes: DataFrame, cut: float = 0.95, optional: bool = False) -> DataFrame:
     """Findings: metric, file, line, unit, value, absolute, percentile, kind, suppressed."""
     every = BANDS | (OPTIONAL_BANDS if optional else {})
@@ -151,4 +163,5 @@ def analyze(nodes: DataFrame, cut: float = 0.95, optional: bool = False) -> Data
     u = units(nodes).filter(F.col("size") >= CLONE_SIZE).withColumn("lang", F.lit("python")).withColumn("place", F.struct("file", "line"))
     d = u.join(exact_clusters(u, "lang", "hash", "place").drop("first"), ["lang", "hash"])
     d = d.select(F.lit("duplicate").alias("metric"), "file", "line", F.col("name").alias("unit"), F.col("members").cast("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
-    return suppressed(s.unionByName(f).unionByName(d), directives(nodes))
+    c = low_cohesion(nodes, cut).withColumn("metric", F.lit("low_cohesion")).withColumn("kind", F.lit("scalar"))
+    return suppressed(s.unionByName(f).unionByName(d).unionByName(c), directives(nodes))

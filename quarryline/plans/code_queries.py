@@ -2,7 +2,8 @@
 
 Of each supplier k there are three files with one function each: g (a guards, b + 1 parameters), d
 (c + 1 nested conditions) and c (b calls and a condition of two operators), with a = k % 7, b = k % 5
-and c = k % 3.
+and c = k % 3. The queries on bindings have a file m of each supplier: two functions that share a
+definition, in even ones with a local that hides it, and b functions that share nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.operators import clones, code_metrics
+from quarryline.operators import bindings, clones, code_metrics
 from quarryline.plans.table_queries import query, table
 from quarryline.sources import python_code
 
@@ -89,3 +90,40 @@ def code_duplicates(spark, sf_dir):
 UNION ALL SELECT 'd' || k || '.py', NULL, NULL FROM k WHERE k % 2 = 1""")
 def code_directives(spark, sf_dir):
     return code_metrics.directives(_nodes(spark, sf_dir)).select("file", "line", "metric")
+
+
+def _modules(spark, sf_dir) -> DataFrame:
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    name = F.when(F.col("k") % 2 == 0, "limit").otherwise("other")
+    alone = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("k") % 5).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit("def alone_"), i.cast("string"), F.lit("(x):\n    return x * unknown\n"))).otherwise("")), "")
+    head = "limit = 1\ndef first(x):\n    return x + limit\ndef second(x):\n    "
+    source = F.concat(F.lit(head), name, F.lit(" = x\n    return first(limit)\n"), alone)
+    return python_code.nodes(k.select(F.concat(F.lit("m"), F.col("k").cast("string"), F.lit(".py")).alias("file"), F.lit("python").alias("lang"), source.alias("source")))
+
+
+@query("""WITH k AS (SELECT 'm' || s_suppkey || '.py' AS file, s_suppkey % 2 = 0 AS hides, s_suppkey % 5 AS b FROM supplier),
+u AS (SELECT file, unnest(range(b)) AS i FROM k)
+SELECT file, r.name, r.line::INT AS line, (CASE r.def WHEN -1 THEN CASE WHEN hides THEN 5 ELSE 1 END ELSE r.def END)::INT AS def_line
+FROM k, (VALUES ('x', 2, NULL), ('x', 3, NULL), ('limit', 3, 1), ('x', 4, NULL), ('x', 5, NULL), ('first', 6, 2), ('limit', 6, -1)) r(name, line, def)
+UNION ALL SELECT file, n.name, (7 + 2 * i + n.line)::INT, NULL FROM u, (VALUES ('x', 0), ('x', 1), ('unknown', 1)) n(name, line)""")
+def code_bindings(spark, sf_dir):
+    return bindings.bindings(_modules(spark, sf_dir)).select("file", "name", F.col("row").alias("line"), F.col("def_row").alias("def_line"))
+
+
+@query("SELECT 'm' || s_suppkey || '.py' AS file, 'limit' AS name, 5 AS line FROM supplier WHERE s_suppkey % 2 = 0")
+def code_shadowed(spark, sf_dir):
+    return bindings.shadowing(_modules(spark, sf_dir)).select("file", "name", F.col("row").alias("line"))
+
+
+@query("""WITH k AS (SELECT s_suppkey AS k, 'm' || s_suppkey || '.py' AS file FROM supplier)
+SELECT file, 'first' AS name, 1::BIGINT AS own FROM k UNION ALL SELECT file, 'second', 1 + k % 2 FROM k UNION ALL SELECT file, 'alone_' || (i + 1), 0 FROM (SELECT file, unnest(range(k % 5)) AS i FROM k)""")
+def code_own_affinity(spark, sf_dir):
+    nodes = _modules(spark, sf_dir)
+    names = nodes.filter(code_metrics.has("function")).select("file", F.col("nid").alias("unit"), "name")
+    return bindings.own_affinity(nodes, bindings.bindings(nodes)).join(names, ["file", "unit"]).select("file", "name", "own")
+
+
+@query("SELECT 'm' || s_suppkey || '.py' AS file, 2 AS line, 'first' AS unit, 1 + s_suppkey % 5 AS components FROM supplier")
+def code_cohesion(spark, sf_dir):
+    nodes = _modules(spark, sf_dir)
+    return bindings.cohesion(nodes, bindings.bindings(nodes)).select("file", "line", "unit", "components")

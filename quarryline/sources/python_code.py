@@ -42,6 +42,17 @@ _PLAIN = {
     ast.BinOp: ("binary_expr",),
     ast.Match: ("conditional",),
     ast.Pass: ("trivial",),
+    ast.Module: ("scope",),
+    ast.ClassDef: ("scope", "class"),
+    ast.Lambda: ("scope",),
+    ast.Attribute: ("mention",),
+    ast.keyword: ("mention",),
+    ast.alias: ("mention", "imported"),
+    ast.ImportFrom: ("mention", "import"),
+    ast.Global: ("mention",),
+    ast.Nonlocal: ("mention",),
+    ast.MatchAs: ("mention",),
+    ast.MatchStar: ("mention",),
 }
 
 
@@ -84,7 +95,7 @@ def paths(node) -> int:
 
 class _Rows:
     def __init__(self, file: str):
-        self.file, self.rows = file, []
+        self.file, self.rows, self.targets = file, [], set()
 
     def add(self, node, kind: str, concepts, parent: int, depth: int, owner: int | None, name="", text="") -> int:
         nid = len(self.rows)
@@ -104,14 +115,23 @@ class _Rows:
         self.close(nid, [self.visit(s, nid, depth + 1, owner) for s in statements])
         return nid
 
-    def visit(self, node, parent: int, depth: int, owner) -> int:
+    def visit(self, node, parent: int, depth: int, owner, bare: bool = False) -> int:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            nid = self.add(node, "function", ["function"], parent, depth, -2, node.name)
+            if node.decorator_list and not bare:
+                nid = self.add(node.decorator_list[0], "decorated", [], parent, depth, owner)
+                self.close(nid, [*(self.visit(d, nid, depth + 1, owner) for d in node.decorator_list), self.visit(node, nid, depth + 1, owner, True)])
+                return nid
+            nid = self.add(node, "function", ["function", "scope"], parent, depth, -2, node.name)
             self.rows[nid][14] = in_turn([node.args, *node.body])
             kids = []
-            for a in [*node.args.posonlyargs, *node.args.args, *([node.args.vararg] if node.args.vararg else []), *node.args.kwonlyargs, *([node.args.kwarg] if node.args.kwarg else [])]:
-                before = a in node.args.posonlyargs or a in node.args.args
-                kids.append(self.add(a, "parameter", ["parameter", *(["positional"] if before else [])], nid, depth + 1, nid, a.arg))
+            plain = [*node.args.posonlyargs, *node.args.args]
+            given = dict(zip(reversed(plain), reversed(node.args.defaults), strict=False)) | dict(zip(node.args.kwonlyargs, node.args.kw_defaults, strict=True))
+            for a in [*plain, *([node.args.vararg] if node.args.vararg else []), *node.args.kwonlyargs, *([node.args.kwarg] if node.args.kwarg else [])]:
+                k = self.add(a, "parameter", ["parameter", *(["positional"] if a in plain else [])], nid, depth + 1, nid, a.arg)
+                self.close(k, [self.visit(x, k, depth + 2, nid) for x in (a.annotation, given.get(a)) if x])
+                kids.append(k)
+            if node.returns:
+                kids.append(self.visit(node.returns, nid, depth + 1, nid))
             first = node.body[0]
             documented = isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)
             kids.append(self.block(node.body[1:] if documented and len(node.body) > 1 else node.body, nid, depth + 1, nid, "function_body", node))
@@ -127,8 +147,9 @@ class _Rows:
             for h in node.handlers:
                 names = [ast.unparse(x) for x in (h.type.elts if isinstance(h.type, ast.Tuple) else [h.type])] if h.type else []
                 broad = ["broad_catch"] if not names or "BaseException" in names else []
-                k = self.add(h, "except", ["decision", "catch", *broad], nid, depth + 1, owner)
-                self.close(k, [self.block(h.body, k, depth + 2, owner, "catch_body", h)])
+                k = self.add(h, "except", ["decision", "catch", "mention", *broad], nid, depth + 1, owner, h.name or "")
+                caught = [self.visit(h.type, k, depth + 2, owner)] if h.type else []
+                self.close(k, [*caught, self.block(h.body, k, depth + 2, owner, "catch_body", h)])
                 kids.append(k)
             if node.orelse:
                 kids.append(self.block(node.orelse, nid, depth + 1, owner, "else_body", node))
@@ -142,13 +163,23 @@ class _Rows:
         name = text = ""
         concepts = list(_PLAIN.get(type(node), ()))
         if isinstance(node, ast.Name):
-            name, concepts = node.id, ["reference" if isinstance(node.ctx, ast.Load) else "binding"]
+            name, concepts = node.id, ["reference" if isinstance(node.ctx, ast.Load) else "binding", *(["assigned"] if node in self.targets else [])]
         elif isinstance(node, ast.Call):
             name = getattr(node.func, "attr", getattr(node.func, "id", ""))
         elif isinstance(node, ast.Compare) and len(node.ops) == 1:
             text = f"{type(node.ops[0]).__name__}\x1f{ast.unparse(node.left)}\x1f{ast.unparse(node.comparators[0])}"
         elif isinstance(node, ast.BinOp):
             text = f"{type(node.op).__name__}\x1f{ast.unparse(node.left)}\x1f{ast.unparse(node.right)}"
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+            self.targets |= {t for t in getattr(node, "targets", None) or [node.target] if isinstance(t, ast.Name)}
+        elif isinstance(node, ast.alias):
+            name, text = node.name, node.asname or ""
+        elif isinstance(node, ast.ImportFrom):
+            name, text = node.module or "", "." * node.level
+        elif isinstance(node, (ast.Global, ast.Nonlocal)):
+            name = ".".join(node.names)
+        elif "mention" in concepts or "class" in concepts:
+            name = getattr(node, "attr", getattr(node, "arg", getattr(node, "name", ""))) or ""
         nid = self.add(node, kind, concepts, parent, depth, owner, name, text)
         kids = []
         for field, value in ast.iter_fields(node):

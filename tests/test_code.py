@@ -2,7 +2,7 @@ import textwrap
 
 import pytest
 
-from quarryline.operators import code_metrics
+from quarryline.operators import bindings, code_metrics
 from quarryline.sources import files, python_code
 
 CODE = textwrap.dedent('''
@@ -114,6 +114,60 @@ def test_findings_and_directives(spark):
     assert {r.metric for r in quiet.filter("suppressed").collect()} == {"stub_marker"}
 
 
+SCOPED = textwrap.dedent("""
+    import os.path as place
+    from .near import far as nigh
+    size = 1
+    @wrap(size)
+    def outer(size=size, *rest: Kind) -> Kind:
+        kept = [kept for kept in rest]
+        def inner():
+            kept = size
+            Kind.outer = late
+            _size = _size
+            return lambda: inner(key=kept)
+        a, late = 1, 2
+        return inner
+    class Kind:
+        size = 2
+        def size_of(self):
+            self.size = place
+            return self.inner
+    late = size
+    late = 3
+""")
+
+
+def test_bindings(spark):
+    line = lambda part: next(k for k, x in enumerate(SCOPED.split("\n"), 1) if part in x)
+    nodes = _nodes(spark, SCOPED)
+    got = {(r.row, r.name): r.def_row for r in bindings.bindings(nodes).collect()}
+    assert {n for r, n in got if r == line("import os")} == {"os", "path", "place"}
+    assert {n for r, n in got if r == line("from .near")} == {"near", "far", "nigh"}
+    assert got[line("@wrap"), "size"] == line("size = 1") and got[line("@wrap"), "wrap"] is None
+    assert got[line("def outer"), "size"] == line("size = 1") and got[line("def outer"), "Kind"] == line("class Kind")
+    assert got[line("kept = ["), "kept"] == line("kept = [")
+    assert got[line("kept = size"), "size"] == line("size = 1")
+    assert got[line("Kind.outer"), "outer"] == line("def outer") and got[line("Kind.outer"), "late"] == line("late = size")
+    assert got[line("lambda"), "inner"] == line("def inner") and got[line("lambda"), "kept"] == line("kept = size") and got[line("lambda"), "key"] is None
+    assert got[line("self.size"), "size"] == line("size = 2") and got[line("self.size"), "place"] is None
+    assert got[line("self.inner"), "inner"] is None
+    assert (line("late = 3"), "late") not in got
+    hidden = {(r.row, r.name) for r in bindings.shadowing(nodes).collect()}
+    assert hidden == {(line("kept = size"), "kept"), (line("size = 2"), "size")}
+    flagged = code_metrics.flags(nodes, True).filter("metric = 'shadowed_variable'").collect()
+    assert {r.line for r in flagged} == {r for r, _ in hidden}
+
+
+def test_cohesion(spark):
+    code = "\n".join(f"def f{k}(x):\n    return x\n" for k in range(4)) + "\ndef g(x):\n    return f1(x) + f2(x)\n"
+    nodes = _nodes(spark, code)
+    got = bindings.cohesion(nodes, bindings.bindings(nodes)).collect()
+    assert [tuple(r) for r in got] == [("m.py", 3, 1, "f0")]
+    assert code_metrics.low_cohesion(nodes, 0.95).count() == 0
+    assert bindings.cohesion(_nodes(spark, "x = 1\n"), bindings.bindings(_nodes(spark, "x = 1\n"))).count() == 0
+
+
 def test_changed_lines():
     diff = "--- a/f x.py\n+++ b/f x.py\n@@ -1,2 +1,3 @@\n a\n+b\n+--- not a header\n-c\n@@ -9 +10,2 @@\n-x\n+y\n+z\n--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-q\n"
     assert files.changed_lines(diff) == [("f x.py", 2, 3), ("f x.py", 10, 11)]
