@@ -22,20 +22,23 @@ def scopes(nodes: DataFrame) -> DataFrame:
     return nodes.filter(has("scope")).select("file", F.col("nid").alias("s_id"), F.col("nid").alias("s_lo"), F.col("last").alias("s_hi"))
 
 
-def definitions(nodes: DataFrame) -> DataFrame:
-    """file, name, kind, d_id, owner (function around it), row and its scope (s_id, s_lo, s_hi).
+def every_definition(nodes: DataFrame) -> DataFrame:
+    """file, name, kind, d_id, owner (function around it), row, last and its scope (s_id, s_lo, s_hi).
 
-    The names of functions and classes belong to the scope around their own; assigned names are
-    locals. Of several definitions of a name in a scope the first is given.
+    The names of functions and classes belong to the scope around their own; assigned names are locals.
     """
     kind = F.when(has("function"), "function").when(has("class"), "class").when(has("assigned"), "local")
-    named = nodes.withColumn("kind", kind).filter("kind IS NOT NULL").select("file", "name", "kind", F.col("nid").alias("d_id"), "owner", "row")
+    named = nodes.withColumn("kind", kind).filter("kind IS NOT NULL").select("file", "name", "kind", F.col("nid").alias("d_id"), "owner", "row", "last")
     named = named.withColumn("at", F.struct("file", "d_id")).withColumn("hoisted", F.col("kind") != "local")
     inside = scopes(nodes)
     home = owning(named, inside, "file", "at", "d_id", "d_id", "hoisted").select("at.*", F.col("scope").alias("s_id"))
-    placed = named.drop("at", "hoisted").join(home, ["file", "d_id"]).join(inside, ["file", "s_id"])
+    return named.drop("at", "hoisted").join(home, ["file", "d_id"]).join(inside, ["file", "s_id"])
+
+
+def definitions(nodes: DataFrame) -> DataFrame:
+    """every_definition without last; of several of a name in a scope the first."""
     first = F.min(F.struct("d_id", "kind", "owner", "row")).alias("f")
-    return placed.groupBy("file", "name", "s_id", "s_lo", "s_hi").agg(first).select("file", "name", "f.*", "s_id", "s_lo", "s_hi")
+    return every_definition(nodes).groupBy("file", "name", "s_id", "s_lo", "s_hi").agg(first).select("file", "name", "f.*", "s_id", "s_lo", "s_hi")
 
 
 def references(nodes: DataFrame) -> DataFrame:

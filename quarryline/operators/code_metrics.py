@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarryline.functions.scoring import percentiles, severity
-from quarryline.operators import bindings
+from quarryline.operators import bindings, graph, linkage
 from quarryline.operators.clones import exact_clusters
 from quarryline.operators.findings import suppressed
 
@@ -141,18 +141,23 @@ def directives(nodes: DataFrame, keyword: str = "quarry") -> DataFrame:
     return c.select("file", F.when(F.lower("k") == "ignore", F.col("row")).alias("line"), "metric")
 
 
-def low_cohesion(nodes: DataFrame, cut: float) -> DataFrame:
+def low_cohesion(nodes: DataFrame, bound: DataFrame, cut: float) -> DataFrame:
     """file, line, unit, value, absolute, percentile of files whose functions fall into unconnected groups.
 
     The place is the file's first function; with fewer than COHESION_FILES files there is no percentile.
     """
-    groups = bindings.cohesion(nodes, bindings.bindings(nodes)).select("file", "line", "unit", F.col("components").cast("long").alias("value"))
+    groups = bindings.cohesion(nodes, bound).select("file", "line", "unit", F.col("components").cast("long").alias("value"))
     scored = percentiles(groups, [], "value", least=COHESION_FILES).withColumn("absolute", severity(F.col("value"), *COHESION_BAND))
     return scored.filter((F.col("absolute") != "ok") | (F.col("percentile") >= cut))
 
 
 def analyze(nodes: DataFrame, cut: float = 0.95, optional: bool = False) -> DataFrame:
-    """Findings: metric, file, line, unit, value, absolute, percentile, kind, suppressed."""
+    """Findings: metric, file, line, unit, value, absolute, percentile, kind, suppressed.
+
+    The node table is written once, so that every file is parsed once for all passes.
+    """
+    nodes = graph.cut(nodes)
+    bound = graph.cut(bindings.bindings(nodes))
     every = BANDS | (OPTIONAL_BANDS if optional else {})
     band = F.create_map(*(x for m, (w, h) in every.items() for x in (F.lit(m), F.struct(F.lit(w).alias("warn"), F.lit(h).alias("high")))))
     s = percentiles(scalars(nodes, optional), ["metric"], "value").withColumn("b", band[F.col("metric")])
@@ -163,5 +168,7 @@ def analyze(nodes: DataFrame, cut: float = 0.95, optional: bool = False) -> Data
     u = units(nodes).filter(F.col("size") >= CLONE_SIZE).withColumn("lang", F.lit("python")).withColumn("place", F.struct("file", "line"))
     d = u.join(exact_clusters(u, "lang", "hash", "place").drop("first"), ["lang", "hash"])
     d = d.select(F.lit("duplicate").alias("metric"), "file", "line", F.col("name").alias("unit"), F.col("members").cast("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
-    c = low_cohesion(nodes, cut).withColumn("metric", F.lit("low_cohesion")).withColumn("kind", F.lit("scalar"))
-    return suppressed(s.unionByName(f).unionByName(d).unionByName(c), directives(nodes))
+    c = low_cohesion(nodes, bound, cut).withColumn("metric", F.lit("low_cohesion")).withColumn("kind", F.lit("scalar"))
+    r = linkage.unreferenced(nodes, bound)
+    r = r.select(F.lit("unreferenced").alias("metric"), "file", "line", "unit", none("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
+    return suppressed(s.unionByName(f).unionByName(d).unionByName(c).unionByName(r), directives(nodes))

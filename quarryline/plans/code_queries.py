@@ -3,7 +3,8 @@
 Of each supplier k there are three files with one function each: g (a guards, b + 1 parameters), d
 (c + 1 nested conditions) and c (b calls and a condition of two operators), with a = k % 7, b = k % 5
 and c = k % 3. The queries on bindings have a file m of each supplier: two functions that share a
-definition, in even ones with a local that hides it, and b functions that share nothing.
+definition, in even ones with a local that hides it, and b functions that share nothing. Those on
+files that import have two of each supplier: b with four functions, a with one of b's imported.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.operators import bindings, clones, code_metrics
+from quarryline.operators import bindings, clones, code_metrics, graph, linkage
 from quarryline.plans.table_queries import query, table
 from quarryline.sources import python_code
 
@@ -127,3 +128,38 @@ def code_own_affinity(spark, sf_dir):
 def code_cohesion(spark, sf_dir):
     nodes = _modules(spark, sf_dir)
     return bindings.cohesion(nodes, bindings.bindings(nodes)).select("file", "line", "unit", "components")
+
+
+def _packages(spark, sf_dir) -> DataFrame:
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").cast("string").alias("name"), F.concat(F.lit("p"), (F.col("s_suppkey") % 5).cast("string")).alias("p"))
+    b = F.lit("def _used(x):\n    return _helper(x)\ndef _helper(x):\n    return x\ndef _lost(x):\n    return _helper(_lost_too(x))\ndef _lost_too(x):\n    return x\n")
+    way = F.when(F.col("k") % 3 == 0, F.concat("p", F.lit(".b"), "name", F.lit(" import _used"))).when(F.col("k") % 3 == 1, F.concat(F.lit(".b"), "name", F.lit(" import _used")))
+    way = way.otherwise(F.concat(F.lit(".."), "p", F.lit(".b"), "name", F.lit(" import *")))
+    a = F.concat(F.lit("from "), way, F.lit("\ndef run(x):\n    return "), F.when(F.col("k") % 2 == 0, "_used(x)\n").otherwise("x\n"))
+    files = F.explode(F.array(F.struct(F.lit("a").alias("kind"), a.alias("source")), F.struct(F.lit("b").alias("kind"), b.alias("source"))))
+    rows = k.withColumn("f", files).select(F.concat(F.lit("src/"), "p", F.lit("/"), "f.kind", "name", F.lit(".py")).alias("file"), F.lit("python").alias("lang"), "f.source")
+    return graph.cut(python_code.nodes(rows))
+
+
+_P = "k AS (SELECT s_suppkey AS k, 'src/p' || s_suppkey % 5 || '/a' || s_suppkey || '.py' AS a, 'src/p' || s_suppkey % 5 || '/b' || s_suppkey || '.py' AS b FROM supplier)"
+
+
+@query(f"""WITH {_P} SELECT a AS file, 1 AS line, '_used' AS name, b AS def_file FROM k WHERE k % 3 <> 2 UNION ALL SELECT a, 3, '_used', b FROM k WHERE k % 2 = 0""")
+def code_cross_references(spark, sf_dir):
+    nodes = _packages(spark, sf_dir)
+    seen = linkage.visible(nodes, linkage.symbols(nodes))
+    return linkage.references(bindings.bindings(nodes), seen).select("file", F.col("row").alias("line"), "name", "def_file")
+
+
+@query(f"""WITH {_P} SELECT b AS file, 5 AS line, '_lost' AS unit FROM k UNION ALL SELECT b, 7, '_lost_too' FROM k
+UNION ALL SELECT b, n.line, n.unit FROM k, (VALUES (1, '_used'), (3, '_helper')) n(line, unit) WHERE k % 3 = 2 AND k % 2 = 1""")
+def code_unreferenced(spark, sf_dir):
+    nodes = _packages(spark, sf_dir)
+    return linkage.unreferenced(nodes, graph.cut(bindings.bindings(nodes)))
+
+
+@query(f"""WITH {_P} SELECT b AS def_file, count(*) FILTER (k % 3 = 2 OR n.unit = '_used') AS seen, 1::BIGINT AS most FROM k, (VALUES ('_used'), ('_helper'), ('_lost'), ('_lost_too')) n(unit) GROUP BY ALL""")
+def code_definition_reach(spark, sf_dir):
+    nodes = _packages(spark, sf_dir)
+    found = linkage.reach(nodes, linkage.visible(nodes, linkage.symbols(nodes)))
+    return found.groupBy("def_file").agg(F.count(F.lit(1)).alias("seen"), F.max("reach").alias("most"))

@@ -2,7 +2,7 @@ import textwrap
 
 import pytest
 
-from quarryline.operators import bindings, code_metrics
+from quarryline.operators import bindings, code_metrics, linkage
 from quarryline.sources import files, python_code
 
 CODE = textwrap.dedent('''
@@ -164,10 +164,40 @@ def test_cohesion(spark):
     nodes = _nodes(spark, code)
     got = bindings.cohesion(nodes, bindings.bindings(nodes)).collect()
     assert [tuple(r) for r in got] == [("m.py", 3, 1, "f0")]
-    assert code_metrics.low_cohesion(nodes, 0.95).count() == 0
+    assert code_metrics.low_cohesion(nodes, bindings.bindings(nodes), 0.95).count() == 0
     assert bindings.cohesion(_nodes(spark, "x = 1\n"), bindings.bindings(_nodes(spark, "x = 1\n"))).count() == 0
 
 
+TREE = {
+    "pkg/__init__.py": "from .low import _deep\n",
+    "pkg/low.py": "def _deep():\n    return _deeper()\n\ndef _deeper():\n    def inner():\n        return _deepest()\n    return inner\n\ndef _deepest():\n    pass\n\ndef _round():\n    _turn()\n\ndef _turn():\n    _round()\n",
+    "pkg/sub/far.py": "from ..low import _round as spin\nfrom pkg import *\n\nclass _Odd:\n    def go(self):\n        return _own()\n\ndef _own():\n    pass\n\ndef _own():\n    return 1\n",
+    "other/low.py": "def _deep():\n    pass\n",
+    "use.py": "from pkg.sub.far import _Odd\nfrom nowhere import x\nfrom low import _turn\n",
+}
+
+
+def test_linkage(spark):
+    rows = [(f, "python", c) for f, c in TREE.items()]
+    nodes = python_code.nodes(spark.createDataFrame(rows, "file string, lang string, source string"))
+    defined = linkage.symbols(nodes)
+    assert {(r.name, r.kind) for r in defined.filter("file = 'pkg/sub/far.py'").collect()} == {("_Odd", "class"), ("_own", "function")}
+    found = {(r.file, r.level, r.module, tuple(r.names), r.path) for r in linkage.targets(linkage.imports(nodes), nodes.select("file")).collect()}
+    assert found == {
+        ("pkg/__init__.py", 1, "low", ("_deep",), "pkg/low.py"), ("pkg/sub/far.py", 2, "low", (), "pkg/low.py"), ("pkg/sub/far.py", 0, "pkg", (), "pkg/__init__.py"),
+        ("use.py", 0, "pkg.sub.far", ("_Odd",), "pkg/sub/far.py"), ("use.py", 0, "low", ("_turn",), "pkg/low.py"), ("use.py", 0, "low", ("_turn",), "other/low.py"),
+    }
+    bound = bindings.bindings(nodes)
+    lost = {(r.file, r.unit) for r in linkage.unreferenced(nodes, bound).collect()}
+    # _round is named by its import and _turn by its own; the other _deep is named by nobody
+    assert lost == {("other/low.py", "_deep")}
+    seen = linkage.visible(nodes, defined)
+    counts = {(r.def_file, r.reach) for r in linkage.reach(nodes, seen.filter("file = 'pkg/sub/far.py'")).collect()}
+    assert counts == {("pkg/low.py", 3)}
+    bare = python_code.nodes(spark.createDataFrame([("a.py", "python", "from .b import *\n"), ("b.py", "python", "def _f():\n    _g()\n\ndef _g():\n    _f()\n")], "file string, lang string, source string"))
+    assert {r.unit for r in linkage.unreferenced(bare, bindings.bindings(bare)).collect()} == {"_f", "_g"}
+
+
 def test_changed_lines():
     diff = "--- a/f x.py\n+++ b/f x.py\n@@ -1,2 +1,3 @@\n a\n+b\n+--- not a header\n-c\n@@ -9 +10,2 @@\n-x\n+y\n+z\n--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-q\n"
     assert files.changed_lines(diff) == [("f x.py", 2, 3), ("f x.py", 10, 11)]
