@@ -23,6 +23,11 @@ BANDS = {
 OPTIONAL_BANDS = {"return_count": (4, 8), "local_count": (10, 15), "fan_out": (12, 20), "npath": (200, 1000)}
 # Operators that may well have equal operands.
 IDEMPOTENT = ("Add", "Mult", "Pow", "LShift", "RShift", "Div", "NotEq")
+OPTIONAL_FLAGS = ("unreachable_after_jump", "trivial_wrapper", "shadowed_variable")
+FLAGS = (
+    "stub_marker", "broad_catch", "empty_catch", "empty_body", "identical_operands", "duplicate_branches", "return_in_finally",
+    "unused_parameter", "unused_local", *OPTIONAL_FLAGS,
+)
 CLONE_SIZE = 10
 COHESION_BAND, COHESION_FILES = (4, 6), 5
 
@@ -124,9 +129,8 @@ def flags(nodes: DataFrame, optional: bool = False) -> DataFrame:
         mark(operands, "identical_operands"),
         mark(n.join(same, ["file", "nid"], "left_semi"), "duplicate_branches"),
         mark(back.filter("fin"), "return_in_finally"),
-        mark(dead, "unreachable_after_jump"),
         mark(unused, "unused_parameter"), mark(unbound, "unused_local"),
-        *([mark(wrappers(n), "trivial_wrapper", F.col("name")), mark(bindings.shadowing(n), "shadowed_variable")] if optional else []),
+        *([mark(dead, "unreachable_after_jump"), mark(wrappers(n), "trivial_wrapper", F.col("name")), mark(bindings.shadowing(n), "shadowed_variable")] if optional else []),
     ]
     out = found[0]
     for part in found[1:]:
@@ -141,34 +145,41 @@ def directives(nodes: DataFrame, keyword: str = "quarry") -> DataFrame:
     return c.select("file", F.when(F.lower("k") == "ignore", F.col("row")).alias("line"), "metric")
 
 
-def low_cohesion(nodes: DataFrame, bound: DataFrame, cut: float) -> DataFrame:
+def low_cohesion(nodes: DataFrame, bound: DataFrame, cut: float, band: tuple[int, int] = COHESION_BAND) -> DataFrame:
     """file, line, unit, value, absolute, percentile of files whose functions fall into unconnected groups.
 
     The place is the file's first function; with fewer than COHESION_FILES files there is no percentile.
     """
     groups = bindings.cohesion(nodes, bound).select("file", "line", "unit", F.col("components").cast("long").alias("value"))
-    scored = percentiles(groups, [], "value", least=COHESION_FILES).withColumn("absolute", severity(F.col("value"), *COHESION_BAND))
+    scored = percentiles(groups, [], "value", least=COHESION_FILES).withColumn("absolute", severity(F.col("value"), *band))
     return scored.filter((F.col("absolute") != "ok") | (F.col("percentile") >= cut))
 
 
-def analyze(nodes: DataFrame, cut: float = 0.95, optional: bool = False) -> DataFrame:
+def analyze(
+    nodes: DataFrame, cut: float = 0.95, optional: bool = False, bands: dict[str, tuple[int, int]] | None = None, rules: dict[str, bool] | None = None, clone_size: int = CLONE_SIZE
+) -> DataFrame:
     """Findings: metric, file, line, unit, value, absolute, percentile, kind, suppressed.
 
-    The node table is written once, so that every file is parsed once for all passes.
+    bands takes the place of single limits; rules turns metrics and flags on or off, the optional ones
+    included. The node table is written once, so that every file is parsed once for all passes.
     """
     nodes = graph.cut(nodes)
     bound = graph.cut(bindings.bindings(nodes))
-    every = BANDS | (OPTIONAL_BANDS if optional else {})
-    band = F.create_map(*(x for m, (w, h) in every.items() for x in (F.lit(m), F.struct(F.lit(w).alias("warn"), F.lit(h).alias("high")))))
-    s = percentiles(scalars(nodes, optional), ["metric"], "value").withColumn("b", band[F.col("metric")])
+    bands, rules = bands or {}, rules or {}
+    every = {m: bands.get(m, b) for m, b in (BANDS | OPTIONAL_BANDS).items() if rules.get(m, optional or m in BANDS)}
+    flagged = [m for m in FLAGS if rules.get(m, optional or m not in OPTIONAL_FLAGS)]
+    limits = F.struct(F.lit(None).cast("int").alias("warn"), F.lit(None).cast("int").alias("high"))
+    for m, (w, h) in every.items():
+        limits = F.when(F.col("metric") == m, F.struct(F.lit(w).alias("warn"), F.lit(h).alias("high"))).otherwise(limits)
+    s = percentiles(scalars(nodes, True).filter(F.col("metric").isin(list(every))), ["metric"], "value").withColumn("b", limits)
     s = s.withColumn("absolute", severity(F.col("value"), F.col("b.warn"), F.col("b.high"))).filter((F.col("absolute") != "ok") | (F.col("percentile") >= cut))
     s = s.select("metric", "file", "line", F.col("name").alias("unit"), "value", "absolute", "percentile", F.lit("scalar").alias("kind"))
     none = lambda t: F.lit(None).cast(t)
-    f = flags(nodes, optional).select("metric", "file", "line", "unit", none("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
-    u = units(nodes).filter(F.col("size") >= CLONE_SIZE).withColumn("lang", F.lit("python")).withColumn("place", F.struct("file", "line"))
+    f = flags(nodes, any(m in flagged for m in OPTIONAL_FLAGS)).filter(F.col("metric").isin(flagged)).select("metric", "file", "line", "unit", none("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
+    u = units(nodes).filter(F.col("size") >= clone_size).withColumn("lang", F.lit("python")).withColumn("place", F.struct("file", "line"))
     d = u.join(exact_clusters(u, "lang", "hash", "place").drop("first"), ["lang", "hash"])
     d = d.select(F.lit("duplicate").alias("metric"), "file", "line", F.col("name").alias("unit"), F.col("members").cast("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
-    c = low_cohesion(nodes, bound, cut).withColumn("metric", F.lit("low_cohesion")).withColumn("kind", F.lit("scalar"))
+    c = low_cohesion(nodes, bound, cut, bands.get("low_cohesion", COHESION_BAND)).withColumn("metric", F.lit("low_cohesion")).withColumn("kind", F.lit("scalar"))
     r = linkage.unreferenced(nodes, bound)
     r = r.select(F.lit("unreferenced").alias("metric"), "file", "line", "unit", none("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
     return suppressed(s.unionByName(f).unionByName(d).unionByName(c).unionByName(r), directives(nodes))
