@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.scoring import percentiles, severity
 from quarryline.operators import bindings, graph, linkage
-from quarryline.operators.clones import exact_clusters
+from quarryline.operators.clones import exact_clusters, maximal
 from quarryline.operators.findings import suppressed
+from quarryline.operators.intervals import containing
 
 # Bands (warn, high), both inclusive.
 BANDS = {
@@ -145,6 +146,29 @@ def directives(nodes: DataFrame, keyword: str = "quarry") -> DataFrame:
     return c.select("file", F.when(F.lower("k") == "ignore", F.col("row")).alias("line"), "metric")
 
 
+def anchors(nodes: DataFrame, least: int = CLONE_SIZE) -> DataFrame:
+    """file, nid, line, name, hash, up (hash of the nearest anchor around): what may be a clone.
+
+    Functions of least nodes; those without control flow, and blocks (which have no name), need twice as many.
+    """
+    functions = nodes.filter(has("function")).select("file", F.col("nid").alias("s_id"), F.col("nid").alias("s_lo"), F.col("last").alias("s_hi"))
+    control = nodes.filter(has("decision") | has("nesting")).select("file", F.col("nid").alias("at"))
+    steered = containing(control, functions, "file", "at", "at").select("file", F.col("s_id").alias("nid")).distinct().withColumn("steered", F.lit(True))
+    large = nodes.filter(has("function") | has("body")).join(steered, ["file", "nid"], "left")
+    large = large.filter(F.col("size") >= F.when(has("function") & F.col("steered"), least).otherwise(2 * least))
+    large = graph.cut(large.select("file", "nid", "last", F.col("row").alias("line"), "name", "hash"))
+    spans = large.select("file", F.col("nid").alias("s_id"), F.col("nid").alias("s_lo"), F.col("last").alias("s_hi"), F.col("hash").alias("s_hash"))
+    up = containing(large.select("file", "nid"), spans, "file", "nid", "nid").filter("s_id < nid").groupBy("file", "nid").agg(F.max_by("s_hash", "s_id").alias("up"))
+    return large.drop("last").join(up, ["file", "nid"], "left")
+
+
+def duplicates(nodes: DataFrame, least: int = CLONE_SIZE) -> DataFrame:
+    """file, line, name, hash, members: exact clones that no clone of as many members holds, a row for each place."""
+    found = graph.cut(anchors(nodes, least).withColumn("lang", F.lit("python")))
+    groups = exact_clusters(found, "lang", "hash", "file")
+    return maximal(found, groups, "up", "hash").join(groups.select("hash", "members"), "hash").select("file", "line", "name", "hash", "members")
+
+
 def low_cohesion(nodes: DataFrame, bound: DataFrame, cut: float, band: tuple[int, int] = COHESION_BAND) -> DataFrame:
     """file, line, unit, value, absolute, percentile of files whose functions fall into unconnected groups.
 
@@ -176,9 +200,8 @@ def analyze(
     s = s.select("metric", "file", "line", F.col("name").alias("unit"), "value", "absolute", "percentile", F.lit("scalar").alias("kind"))
     none = lambda t: F.lit(None).cast(t)
     f = flags(nodes, any(m in flagged for m in OPTIONAL_FLAGS)).filter(F.col("metric").isin(flagged)).select("metric", "file", "line", "unit", none("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
-    u = units(nodes).filter(F.col("size") >= clone_size).withColumn("lang", F.lit("python")).withColumn("place", F.struct("file", "line"))
-    d = u.join(exact_clusters(u, "lang", "hash", "place").drop("first"), ["lang", "hash"])
-    d = d.select(F.lit("duplicate").alias("metric"), "file", "line", F.col("name").alias("unit"), F.col("members").cast("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
+    d = duplicates(nodes, clone_size)
+    d = d.select(F.lit("duplicate").alias("metric"), "file", "line", F.col("name").alias("unit"), F.col("members").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))
     c = low_cohesion(nodes, bound, cut, bands.get("low_cohesion", COHESION_BAND)).withColumn("metric", F.lit("low_cohesion")).withColumn("kind", F.lit("scalar"))
     r = linkage.unreferenced(nodes, bound)
     r = r.select(F.lit("unreferenced").alias("metric"), "file", "line", "unit", none("long").alias("value"), F.lit("high").alias("absolute"), none("double").alias("percentile"), F.lit("flag").alias("kind"))

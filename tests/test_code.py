@@ -138,6 +138,17 @@ SCOPED = textwrap.dedent("""
 """)
 
 
+def test_maximal_duplicates(spark):
+    part = "        total = x + 1\n        total = total * x\n        total = total - x\n        total = total / x\n        return total\n"
+    whole = "def {0}(x):\n    if x:\n" + part + "    return x\n\n"
+    code = whole.format("a") + whole.format("b") + "def c(x):\n    for y in x:\n" + part + "def d(x):\n    return f(x, x, x, x, x, x)\n\ndef e(x):\n    return f(x, x, x, x, x, x)\n"
+    got = [(r.name, r.line, r.members) for r in code_metrics.duplicates(_nodes(spark, code)).collect()]
+    # the block is in three functions, two of which are alike: both are told; d and e have no control flow
+    assert sorted(got) == [("", 3, 3), ("", 12, 3), ("", 21, 3), ("a", 1, 2), ("b", 10, 2)]
+    small = [(r.name, r.members) for r in code_metrics.duplicates(_nodes(spark, code), 5).collect()]
+    assert {("d", 2), ("e", 2)} <= set(small)
+
+
 def test_bindings(spark):
     line = lambda part: next(k for k, x in enumerate(SCOPED.split("\n"), 1) if part in x)
     nodes = _nodes(spark, SCOPED)
