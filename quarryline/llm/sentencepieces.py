@@ -5,8 +5,11 @@ that end at a place come from an automaton over all pieces; a token goes in if i
 with the token that its start's prefix ends with, i.e. if merging the two tokens' text would give
 just these two. The ids are then read backwards. Time grows linearly with a chunk.
 
-A chunk is a run of spaces with the word after it: no piece has a space after another character,
-so merges never leave a chunk, and its ids are kept in a bounded cache.
+A chunk is a run of spaces with the characters of one class after it. No piece has a space after
+another character; classes are the characters that pieces put side by side, directly or by way of
+others (for this model the letters of a script, or the punctuation), and all that stand in no such
+pair. No piece spans two classes, so merges never leave a chunk. Ids of chunks are kept in a cache
+of two generations: a full one becomes the older one, from which chunks that are met again come back.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to an empty text; rows
 are independent, so repeated rows, extra columns and empty tables need nothing special.
@@ -19,6 +22,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +30,9 @@ from quarryline.llm.common import read_table, ship
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks whose ids a worker keeps.
+#: Chunks in each of the two generations of a worker's cache, and the characters of the longest kept.
 CACHE = 100_000
+LONGEST = 256
 
 
 def default_model() -> str:
@@ -62,15 +67,36 @@ class PieceTable:
         self.automaton.make_automaton()
         self.known = {p for p in self.id if len(p) == 1}
         breaks = "\n" if "\n" not in self.known else ""
-        self.chunks = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (f"|{breaks}" if breaks else "")).findall
+        classes = ["".join(map(re.escape, sorted(c))) for c in self._classes()]
+        runs = [f"{SPACE}*[{c}]+" for c in classes] + [f"{SPACE}*[^{''.join(classes)}{SPACE}{breaks}]+", f"{SPACE}+"]
+        self.chunks = re.compile("|".join(runs + [breaks] * bool(breaks))).findall
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[int, bool] = {}
-        self.cache: dict[str, tuple[int, str, bytes, bytes]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.length = [len(p) for p in self.piece]
         self.number = [str(i) for i in range(len(self.piece))]
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.piece))]
         self.bytes = [bytes((self.byte_of[i],)) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
 
+    def _classes(self) -> list[list[str]]:
+        """Characters that pieces put side by side, directly or by way of others; the largest class first."""
+        over: dict[str, str] = {}
+
+        def top(c: str) -> str:
+            while over.setdefault(c, c) != c:
+                c = over[c]
+            return c
+
+        for p in self.id:
+            word = p.lstrip(SPACE)
+            for a, b in zip(word, word[1:], strict=False):
+                over[top(a)] = top(b)
+        found: dict[str, list[str]] = {}
+        for c in over:
+            found.setdefault(top(c), []).append(c)
+        return sorted(found.values(), key=lambda c: (-len(c), min(c)))
+
     def _last_merge(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge joins into this one; (-1, -1): never made; None: one character."""
         if token in self.halves:
@@ -98,11 +124,12 @@ class PieceTable:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the text of both is encoded as left, right: undoes both sides' merges, latest first,
-        and looks whether the tokens that then meet would have been joined before."""
+        and looks whether the tokens that then meet would have been joined before. As left, the number of
+        pieces stands for the start of the text and -1 for a prefix without a token."""
         key = left << 20 | right
         known = self.fits.get(key)
         if known is None:
-            known = self._reached(right) and self._meet(left, right)
+            known = left >= 0 and self._reached(right) and (left == len(self.piece) or self._meet(left, right))
             if len(self.fits) > 2_000_000:
                 self.fits.clear()
             self.fits[key] = known
@@ -125,37 +152,33 @@ class PieceTable:
                 before, equal, right = self.rank[right], True, b[0]
 
     def _run(self, text: str) -> list[int]:
-        """ids of a run of known characters."""
-        n = len(text)
-        last = [-1] * (n + 1)
-        fits, length_of = self.fits, self.length
-        for end, (token, length) in self.automaton.iter(text):
-            end += 1
-            if last[end] >= 0:  # only one token can end a prefix
-                continue
-            if length == end:
-                ok = self._reached(token)
-            else:
-                before = last[end - length]
-                if before < 0:
-                    continue
-                ok = fits.get(before << 20 | token)
+        """ids of a run of known characters; none if a character is unknown."""
+        end = len(text) - 1
+        last = [-1] * len(text) + [len(self.piece)]  # by the place of a prefix's last character; at -1 the start
+        known, compatible = self.fits.get, self.compatible
+        for at, (token, length) in self.automaton.iter(text):
+            if last[at] < 0:  # only one token can end a prefix
+                before = last[at - length]
+                ok = known(before << 20 | token)
                 if ok is None:
-                    ok = self.compatible(before, token)
-            if ok:
-                last[end] = token
+                    ok = compatible(before, token)
+                if ok:
+                    last[at] = token
+        if -1 in last:
+            return []
+        length_of = self.length
         ids = []
-        while n:
-            token = last[n]
+        while end >= 0:
+            token = last[end]
             ids.append(token)
-            n -= length_of[token]
+            end -= length_of[token]
         ids.reverse()
         return ids
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        if self.known.issuperset(chunk):
-            return self._run(chunk)
-        ids: list[int] = []
+        ids = self._run(chunk)
+        if ids:
+            return ids
         run = ""
         for c in chunk:
             if c in self.known:
@@ -174,29 +197,32 @@ class PieceTable:
 
     def raw(self, ids) -> bytes:
         """The UTF-8 bytes of ids, spaces as spaces, the first one included."""
-        return b"".join([self.bytes[i] for i in ids])
+        out = self.bytes
+        return b"".join([out[i] for i in ids])
 
     def decode(self, ids) -> str:
         """The text of ids without the space that encoding put in front."""
         out = self.raw(ids)
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
-    def entry(self, chunk: str) -> tuple[int, str, bytes, bytes]:
-        """Of a chunk: number of ids, ids as text, ids as 32-bit numbers, bytes that they decode to."""
-        found = self.cache.get(chunk)
+    def entry(self, chunk: str) -> bytes:
+        """The ids of a chunk as 32-bit numbers."""
+        found = self.older.get(chunk)
         if found is None:
-            ids = self.encode_chunk(chunk)
-            found = (len(ids), ",".join([self.number[i] for i in ids]), b"".join([self.packed[i] for i in ids]), self.raw(ids))
+            found = b"".join([self.packed[i] for i in self.encode_chunk(chunk)])
+        if len(chunk) <= LONGEST:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
+                self.older = self.cache.copy()
+                self.cache.clear()  # in place, since entries() holds its get
             self.cache[chunk] = found
         return found
 
-    def entries(self, text: str) -> list[tuple[int, str, bytes, bytes]]:
+    def entries(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
         if not text:
-            return []
+            return b""
         get, make = self.cache.get, self.entry
-        return [get(c) or make(c) for c in self.chunks(SPACE + text.replace(" ", SPACE))]
+        return b"".join([get(c) or make(c) for c in self.chunks(SPACE + text.replace(" ", SPACE))])
 
 
 @lru_cache(maxsize=2)
@@ -205,10 +231,13 @@ def piece_table(model: str) -> PieceTable:
 
 
 def _digest_row(table: PieceTable, text: str | None) -> tuple[int, str, str]:
-    found = table.entries(text or "")
-    ids = ",".join([e[1] for e in found])
-    raw = b"".join([e[3] for e in found])
-    return sum([e[0] for e in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw[1:]).hexdigest()
+    ids = _numbers(table.entries(text or ""))
+    number = table.number
+    return len(ids), hashlib.sha256(",".join([number[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(table.raw(ids)[1:]).hexdigest()
+
+
+def _numbers(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, dtype="<i4").tolist()
 
 
 def _key_columns(docs: DataFrame, keys: list[str], text: str):
@@ -237,8 +266,6 @@ def digests(docs: DataFrame, keys: list[str], text: str = "text", model: str | N
 
 def tokenize(docs: DataFrame, keys: list[str], text: str = "text", model: str | None = None) -> DataFrame:
     """keys, ids (array of int), decoded text of each row."""
-    import numpy as np
-
     ship(docs.sparkSession)
     model = model or default_model()
     chosen = _key_columns(docs, keys, text)
@@ -249,11 +276,10 @@ def tokenize(docs: DataFrame, keys: list[str], text: str = "text", model: str |
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                found = [table.entries(t or "") for t in batch.column("__text").to_pylist()]
-                ids = [b"".join([e[2] for e in row]) for row in found]
+                ids = [table.entries(t or "") for t in batch.column("__text").to_pylist()]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                decoded = [b"".join([e[3] for e in row])[1:].decode() for row in found]
+                decoded = [table.raw(_numbers(x))[1:].decode() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k) for k in keys), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(decoded, pa.string())],
                     names=[*keys, "ids", "decoded"],

@@ -5,7 +5,7 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -91,6 +91,29 @@ def test_sentencepiece_is_the_library(spark, odd, none):
     assert sentencepieces.digests(none, ["doc_id"]).count() == 0
 
 
+def test_sentencepiece_encodes_a_word_once(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    table = sentencepieces.PieceTable(sentencepieces.default_model())
+    done = Counter()
+    encode = table.encode_chunk
+    monkeypatch.setattr(table, "encode_chunk", lambda c: done.update([c]) or encode(c))
+    monkeypatch.setattr(sentencepieces, "CACHE", 10)
+    texts = [f"often {a}{b}, often. (often) Привет, часто! 日本 z{a}" for a in "abcdefgh" for b in "ijklmnop"] + ["q" * 1000, "", "x▁y\n\n ", "12 345"]
+    rows = [sentencepieces._digest_row(table, t) for t in texts]
+    for t, (n, ids, raw) in zip(texts, rows, strict=True):
+        want = sp.encode(t)
+        assert (n, ids) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
+        assert raw == hashlib.sha256(sp.decode(want).encode()).hexdigest()
+    assert done["▁often"] == 1  # with whatever punctuation, and however often the cache was full
+    assert max(len(table.cache), len(table.older)) <= 10 and max(map(len, [*table.cache, *table.older])) <= sentencepieces.LONGEST
+    rng = random.Random(6)
+    parts = [*table.id, *table.known, *table.known, "日", "😀", "\n", " ", "7"]
+    for t in ("".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(3000)):
+        assert table.encode(t) == sp.encode(t)
+
+
 def _brute_windows(docs, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
     grams = defaultdict(set)
