@@ -1,8 +1,10 @@
 """Joins of positions with nested intervals.
 
 A span is filed in bins of its own order of size (powers of 16, LEVELS of them): it touches two of
-them at most. A position looks into the one bin of each order that it lies in. So joins have the
-equal keys (file, order, bin), and a file with very many spans is no product.
+them at most. A position looks into the one bin of each order that it lies in, of those orders that
+some span has. So joins have the equal keys (file, order, bin), and a file with very many spans is no
+product. They are told to merge: what a table weighs in its file, or in a shuffle, says little of what
+it takes in the driver's memory.
 """
 
 from __future__ import annotations
@@ -16,22 +18,27 @@ from pyspark.sql import functions as F
 LEVELS = 13
 
 
-def _binned_points(points: DataFrame, lo: str) -> DataFrame:
-    points = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+def _binned_points(points: DataFrame, levels: DataFrame, lo: str) -> DataFrame:
+    points = points.crossJoin(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).drop("__levels")  # levels: one row
     return points.withColumn("__bin", F.expr(f"shiftright(cast(`{lo}` as bigint), 4 * __level)"))
 
 
-def _binned_spans(spans: DataFrame) -> DataFrame:
+def _level():
     size = F.ceil(F.log2(F.greatest(F.col("s_hi") - F.col("s_lo"), F.lit(0)) + 1) / 4).cast("int")
-    spans = spans.withColumn("__level", F.least(size, F.lit(LEVELS - 1)))
+    return F.least(size, F.lit(LEVELS - 1))
+
+
+def _binned_spans(spans: DataFrame) -> DataFrame:
+    spans = spans.withColumn("__level", _level())
     ends = F.expr("sequence(shiftright(cast(s_lo as bigint), 4 * __level), shiftright(cast(greatest(s_lo, s_hi) as bigint), 4 * __level))")
     return spans.withColumn("__bin", F.explode(ends))
 
 
 def containing(points: DataFrame, spans: DataFrame, file: str, lo: str, hi: str, also: tuple[str, ...] = ()) -> DataFrame:
     """points joined with all spans (file, s_id, s_lo, s_hi) that contain [lo, hi] and agree in the columns of also."""
-    p, s = _binned_points(points, lo), _binned_spans(spans)
-    inside = p.join(s, [file, *also, "__level", "__bin"])
+    levels = spans.agg(F.collect_set(_level()).alias("__levels"))
+    p, s = _binned_points(points, levels, lo), _binned_spans(spans)
+    inside = p.join(s.hint("merge"), [file, *also, "__level", "__bin"])
     return inside.filter((F.col("s_lo") <= F.col(lo)) & (F.col(hi) <= F.col("s_hi"))).drop("__level", "__bin")
 
 
@@ -39,7 +46,7 @@ def innermost(points: DataFrame, spans: DataFrame, file: str, key: str, lo: str,
     """key and unit: the smallest span that contains the point, the first of equal ones, 0 if none does."""
     inside = containing(points, spans, file, lo, hi)
     best = inside.groupBy(key).agg(F.min(F.struct((F.col("s_hi") - F.col("s_lo")).alias("w"), F.col("s_id").alias("id"))).alias("b"))
-    return points.select(key).join(best.select(key, "b.id"), key, "left").select(key, F.coalesce("id", F.lit(0)).alias("unit"))
+    return points.select(key).join(best.select(key, "b.id").hint("merge"), key, "left").select(key, F.coalesce("id", F.lit(0)).alias("unit"))
 
 
 def owning(defs: DataFrame, scopes: DataFrame, file: str, key: str, lo: str, hi: str, hoisted: str) -> DataFrame:

@@ -138,3 +138,35 @@ def test_ignore_patterns(spark, patterns, path, out):
 
     df = spark.createDataFrame([(path,)], "p string")
     assert df.select(findings.ignored(F.col("p"), patterns)).first()[0] is out
+
+
+def test_interval_joins_merge(spark):
+    from quarryline.plans import table_queries as t
+
+    for name in ("nearest_definition", "innermost_interval", "owning_scope_hoisted"):
+        plan = t.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_points_look_into_orders_of_size_that_spans_have(spark):
+    from quarryline.operators import intervals
+
+    points = spark.range(100).selectExpr("1 AS file", "id AS p", "id AS lo", "id AS hi")
+    spans = spark.range(100).selectExpr("1 AS file", "id AS s_id", "id - 20 AS s_lo", "id + 20 AS s_hi")
+    found = intervals.containing(points, spans, "file", "lo", "hi")
+    assert found.count() == sum(abs(a - b) <= 20 for a in range(100) for b in range(100))
+    # a row for each point, not one for each of 13 orders; spans that reach below 0 have two bins
+    assert sorted(_join_inputs(found)) == [100, 120]
+
+
+def _join_inputs(df):
+    """Rows that the exchanges of df's plan were given."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    rows, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "Exchange" and "hashpartitioning" in p.toString().split("\n")[0]:
+            rows.append(p.metrics().apply("shuffleRecordsWritten").value())
+        todo += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(k) for k in range(p.children().size())]
+    return rows
