@@ -1,7 +1,7 @@
 """Scopes, definitions and references of the node table, and what they bind to.
 
 A node's position is its pre-order number, so a scope is the span [nid, last]. Joins of positions
-with scopes are those of intervals.py, with equal keys only.
+with scopes are those of intervals.py, with equal keys only, and like those merge.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def every_definition(nodes: DataFrame) -> DataFrame:
     named = named.withColumn("at", F.struct("file", "d_id")).withColumn("hoisted", F.col("kind") != "local")
     inside = scopes(nodes)
     home = owning(named, inside, "file", "at", "d_id", "d_id", "hoisted").select("at.*", F.col("scope").alias("s_id"))
-    return named.drop("at", "hoisted").join(home, ["file", "d_id"]).join(inside, ["file", "s_id"])
+    return named.drop("at", "hoisted").join(home.hint("merge"), ["file", "d_id"]).join(inside.hint("merge"), ["file", "s_id"])
 
 
 def definitions(nodes: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def bindings(nodes: DataFrame) -> DataFrame:
     refs = references(nodes).withColumn("at", F.struct("file", "ref", "name"))
     found = nearest_definition(refs, defs.select("file", "name", "d_id", "s_id", "s_lo", "s_hi"), "file", "name", "at", "ref", "ref").select("at.*", "def")
     where = defs.select("file", F.col("d_id").alias("def"), F.col("owner").alias("def_owner"), F.col("row").alias("def_row"))
-    return refs.drop("at").join(found.join(where, ["file", "def"]), ["file", "ref", "name"], "left")
+    return refs.drop("at").join(found.join(where.hint("merge"), ["file", "def"]).hint("merge"), ["file", "ref", "name"], "left")
 
 
 def shadowing(nodes: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def own_affinity(nodes: DataFrame, bound: DataFrame) -> DataFrame:
     """file, unit, own: how many references of a function are bound to definitions of its file outside it."""
     away = bound.filter("def IS NOT NULL AND owner IS NOT NULL AND NOT (def_owner <=> owner)").groupBy("file", F.col("owner").alias("unit")).agg(F.count(F.lit(1)).alias("own"))
     units = nodes.filter(has("function")).select("file", F.col("nid").alias("unit"))
-    return units.join(away, ["file", "unit"], "left").select("file", "unit", F.coalesce("own", F.lit(0)).alias("own"))
+    return units.join(away.hint("merge"), ["file", "unit"], "left").select("file", "unit", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def cohesion(nodes: DataFrame, bound: DataFrame) -> DataFrame:
@@ -88,4 +88,4 @@ def cohesion(nodes: DataFrame, bound: DataFrame) -> DataFrame:
     functions = nodes.filter(has("function")).select("file", F.col("nid").alias("n"), "row", "name")
     groups = graph.low_cohesion(functions.select("file", node("n").alias("unit")), graph.binding_edges(members))
     first = functions.groupBy("file").agg(F.min(F.struct(F.col("row").alias("line"), "n", F.col("name").alias("unit"))).alias("f"))
-    return groups.join(first, "file").select("file", "components", "f.line", "f.unit")
+    return groups.join(first.hint("merge"), "file").select("file", "components", "f.line", "f.unit")

@@ -221,3 +221,18 @@ def test_read_sources(spark, tmp_path):
         p.write_text("x = 1\n")
     got = files.read_sources(spark, str(tmp_path), ["skip/**"]).collect()
     assert sorted((r.file, r.lang, r.source) for r in got) == [("a.py", "python", "x = 1\n"), ("sub/b.PY", "python", "x = 1\n")]
+
+
+def test_files_are_dealt_out_before_they_are_parsed(spark):
+    rows = [(f"{k}.py", "python", f"def f{k}(x):\n    return x\n") for k in range(40)]
+    nodes = python_code.nodes(spark.createDataFrame(rows, "file string, lang string, source string").coalesce(1))
+    parts = nodes.selectExpr("spark_partition_id() AS p", "file").distinct().collect()
+    assert len(parts) == 40 and len({r.p for r in parts}) > 1
+
+
+@pytest.mark.parametrize("name", ["code_bindings", "code_cohesion", "code_own_affinity", "code_unreferenced", "code_cross_references", "code_flags", "code_shadowed", "code_definition_reach"])
+def test_joins_of_code_tables_merge(spark, name):
+    from quarryline.plans import code_queries, table_queries  # noqa: F401
+
+    plan = table_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
