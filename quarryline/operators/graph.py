@@ -1,7 +1,8 @@
 """Components, reachability, neighbourhoods, communities, mass and placement.
 
 Loops write their tables to the folder of spark.checkpoint.dir and delete those that no later step
-reads. Only the last table of a loop stays, since the result is read from it.
+reads. Only the last table of a loop stays, since the result is read from it. Joins of tables that grow
+are told to merge: Spark would broadcast by the size of a file, and the driver holds the table unpacked.
 """
 
 from __future__ import annotations
@@ -54,10 +55,10 @@ def components(edges: DataFrame) -> DataFrame:
     table = cut(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("component")))
     labels = table
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
+        near = both.join(labels.select(F.col("node").alias("y"), "component").hint("merge"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("m"))
+        step = labels.join(near.hint("merge"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        step = cut(step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
+        step = cut(step.join(jump.hint("merge"), "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
         drop(table)
         table, labels = step, step.select("node", "component")
         if step.filter("old <> component").limit(1).count() == 0:
@@ -70,7 +71,7 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     seen = cut(roots.select("node").distinct())
     front = cut(seen)
     while front.limit(1).count():
-        step = cut(front.join(edges, front["node"] == edges["x"]).select(F.col("y").alias("node")).distinct().join(seen, "node", "left_anti"))
+        step = cut(front.join(edges.hint("merge"), front["node"] == edges["x"]).select(F.col("y").alias("node")).distinct().join(seen.hint("merge"), "node", "left_anti"))
         more = cut(seen.union(step))
         drop(front, seen)
         front, seen = step, more
@@ -144,7 +145,7 @@ def binding_edges(refs: DataFrame) -> DataFrame:
     """x, y: units (file, unit) that use the same definition (def), each tied to the first that does."""
     used = refs.select("file", "def", "unit").distinct()
     first = used.groupBy("file", "def").agg(F.min("unit").alias("x"))
-    return used.join(first, ["file", "def"]).filter("unit <> x").select("x", F.col("unit").alias("y")).distinct()
+    return used.join(first.hint("merge"), ["file", "def"]).filter("unit <> x").select("x", F.col("unit").alias("y")).distinct()
 
 
 def representatives(members: DataFrame, group: str, line: str, unit: str) -> DataFrame:
@@ -155,7 +156,7 @@ def representatives(members: DataFrame, group: str, line: str, unit: str) -> Dat
 def low_cohesion(units: DataFrame, edges: DataFrame) -> DataFrame:
     """file, components: unconnected groups of units (file, unit) of each file with two or more; edges (x, y) join units of one file."""
     joined = components(edges)
-    labelled = units.join(joined, units["unit"] == joined["node"], "left").withColumn("component", F.coalesce("component", "unit"))
+    labelled = units.join(joined.hint("merge"), units["unit"] == joined["node"], "left").withColumn("component", F.coalesce("component", "unit"))
     return labelled.groupBy("file").agg(F.count(F.lit(1)).alias("units"), F.countDistinct("component").alias("components")).filter("units >= 2").select("file", "components")
 
 
