@@ -63,13 +63,13 @@ _SCALARS = " UNION ALL ".join(
 
 @query(f"WITH {_K} {_SCALARS}")
 def code_scalars(spark, sf_dir):
-    return code_metrics.scalars(_nodes(spark, sf_dir), True).select("file", "name", "line", "metric", "value")
+    return code_metrics.scalars(graph.cut(_nodes(spark, sf_dir)), True).select("file", "name", "line", "metric", "value")
 
 
 @query(f"""WITH {_K} SELECT 'g' || k || '.py' AS file, 1 AS line, '' AS unit, 'unused_parameter' AS metric FROM (SELECT k, unnest(range(b)) FROM k)
 UNION ALL SELECT 'c' || k || '.py', b + 2, '', 'stub_marker' FROM k WHERE k % 4 = 0""")
 def code_flags(spark, sf_dir):
-    return code_metrics.flags(_nodes(spark, sf_dir))
+    return code_metrics.flags(graph.cut(_nodes(spark, sf_dir)))
 
 
 _SIZES = """SELECT 'g' || k || '.py' AS file, 'guards_' || k AS name, (5 + b + 7 * a)::INT AS size, 'g' || a || '-' || b AS shape FROM k
@@ -99,7 +99,7 @@ def _modules(spark, sf_dir) -> DataFrame:
     alone = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("k") % 5).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit("def alone_"), i.cast("string"), F.lit("(x):\n    return x * unknown\n"))).otherwise("")), "")
     head = "limit = 1\ndef first(x):\n    return x + limit\ndef second(x):\n    "
     source = F.concat(F.lit(head), name, F.lit(" = x\n    return first(limit)\n"), alone)
-    return python_code.nodes(k.select(F.concat(F.lit("m"), F.col("k").cast("string"), F.lit(".py")).alias("file"), F.lit("python").alias("lang"), source.alias("source")))
+    return graph.cut(python_code.nodes(k.select(F.concat(F.lit("m"), F.col("k").cast("string"), F.lit(".py")).alias("file"), F.lit("python").alias("lang"), source.alias("source"))))
 
 
 @query("""WITH k AS (SELECT 'm' || s_suppkey || '.py' AS file, s_suppkey % 2 = 0 AS hides, s_suppkey % 5 AS b FROM supplier),
@@ -121,7 +121,7 @@ SELECT file, 'first' AS name, 1::BIGINT AS own FROM k UNION ALL SELECT file, 'se
 def code_own_affinity(spark, sf_dir):
     nodes = _modules(spark, sf_dir)
     names = nodes.filter(code_metrics.has("function")).select("file", F.col("nid").alias("unit"), "name")
-    return bindings.own_affinity(nodes, bindings.bindings(nodes)).join(names, ["file", "unit"]).select("file", "name", "own")
+    return bindings.own_affinity(nodes, bindings.bindings(nodes)).join(names.hint("merge"), ["file", "unit"]).select("file", "name", "own")
 
 
 @query("SELECT 'm' || s_suppkey || '.py' AS file, 2 AS line, 'first' AS unit, 1 + s_suppkey % 5 AS components FROM supplier")
