@@ -46,7 +46,7 @@ def _above(nodes: DataFrame, inner, outer, strict: bool) -> DataFrame:
     i = nodes.filter(inner).select("file", "owner", "nid", F.col("name").alias("own"), "concepts")
     o = nodes.filter(outer).select(F.col("file").alias("f"), F.col("owner").alias("w"), F.col("nid").alias("o_nid"), F.col("last").alias("o_last"), F.col("name").alias("o_name"))
     edge = (o["o_nid"] < i["nid"]) if strict else (o["o_nid"] <= i["nid"])
-    return i.join(o, (i["file"] == o["f"]) & (i["owner"] == o["w"]) & edge & (i["nid"] <= o["o_last"]), "left")
+    return i.join(o.hint("merge"), (i["file"] == o["f"]) & (i["owner"] == o["w"]) & edge & (i["nid"] <= o["o_last"]), "left")
 
 
 def scalars(nodes: DataFrame, optional: bool = False) -> DataFrame:
@@ -69,11 +69,11 @@ def scalars(nodes: DataFrame, optional: bool = False) -> DataFrame:
     runs = _above(own, has("short_circuit"), has("short_circuit"), True).groupBy("file", "owner", "nid", "own").agg(F.max_by("o_name", "o_nid").alias("up"))
     runs = runs.groupBy(*key).agg(count(F.col("up").isNull() | (F.col("up") != F.col("own"))).alias("runs"))
     u = units(nodes)
-    calls = own.filter(has("call") & (F.col("name") != "")).select("file", F.col("owner").alias("unit"), F.col("name").alias("callee")).join(u.select("file", "unit", "name"), ["file", "unit"])
+    calls = own.filter(has("call") & (F.col("name") != "")).select("file", F.col("owner").alias("unit"), F.col("name").alias("callee")).join(u.select("file", "unit", "name").hint("merge"), ["file", "unit"])
     calls = calls.groupBy("file", "unit").agg(F.count_distinct(F.when(F.col("callee") != F.col("name"), F.col("callee"))).alias("fan_out"))
     out = u
     for part in (flat, deep, cost, widest, runs, calls):
-        out = out.join(part, ["file", "unit"], "left")
+        out = out.join(part.hint("merge"), ["file", "unit"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     out = out.select(
         "file", "unit", "name", "line", F.col("cyclomatic"), (zero("cost") + zero("runs")).alias("cognitive_complexity"), (F.col("end_row") - F.col("line") + 1).cast("long").alias("function_length"),
