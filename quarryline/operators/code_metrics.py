@@ -86,11 +86,11 @@ def scalars(nodes: DataFrame, optional: bool = False) -> DataFrame:
 def wrappers(nodes: DataFrame) -> DataFrame:
     """Functions whose body is one call, alone or returned."""
     inside = nodes.filter(F.array_contains("concepts", "function_body")).select("file", F.col("nid").alias("parent"), F.col("parent").alias("function"))
-    parts = nodes.filter(~has("trivial") & ~has("comment")).join(inside, ["file", "parent"])
+    parts = nodes.filter(~has("trivial") & ~has("comment")).join(inside.hint("merge"), ["file", "parent"])
     alone = parts.groupBy("file", "function").agg(F.count(F.lit(1)).alias("m"), F.first("nid").alias("parent"), F.first("type").alias("kind"))
     alone = alone.filter((F.col("m") == 1) & F.col("kind").isin("expr", "return"))
-    called = nodes.filter(has("call")).select("file", "parent").join(alone, ["file", "parent"]).select("file", F.col("function").alias("nid"))
-    return nodes.join(called, ["file", "nid"], "left_semi")
+    called = nodes.filter(has("call")).select("file", "parent").join(alone.hint("merge"), ["file", "parent"]).select("file", F.col("function").alias("nid"))
+    return nodes.join(called.hint("merge"), ["file", "nid"], "left_semi")
 
 
 def flags(nodes: DataFrame, optional: bool = False) -> DataFrame:
@@ -98,37 +98,37 @@ def flags(nodes: DataFrame, optional: bool = False) -> DataFrame:
     mark = lambda df, metric, name=F.lit(""): df.select("file", F.col("row").alias("line"), name.alias("unit"), F.lit(metric).alias("metric"))
     n = nodes
     kids = n.filter("parent >= 0").groupBy("file", F.col("parent").alias("nid")).agg(F.sum((~has("trivial") & ~has("comment")).cast("int")).alias("real"))
-    bodies = n.filter(has("body")).join(kids, ["file", "nid"], "left").filter("coalesce(real, 0) = 0")
+    bodies = n.filter(has("body")).join(kids.hint("merge"), ["file", "nid"], "left").filter("coalesce(real, 0) = 0")
     up = n.select("file", F.col("nid").alias("parent"), F.col("row").alias("up_row"), F.col("concepts").alias("up"), F.col("name").alias("up_name"))
-    of = bodies.join(up, ["file", "parent"]).withColumn("row", F.col("up_row"))
+    of = bodies.join(up.hint("merge"), ["file", "parent"]).withColumn("row", F.col("up_row"))
     empty_catch = mark(of.filter(F.array_contains("up", "catch")), "empty_catch")
     empty_body = mark(of.filter(~F.array_contains("up", "catch") & ~F.array_contains("up", "function")), "empty_body")
     operands = n.filter(has("binary_expr") & (F.col("text") != "")).withColumn("p", F.split("text", "\x1f"))
     operands = operands.filter((F.get("p", F.lit(1)) == F.get("p", F.lit(2))) & ~F.get("p", F.lit(0)).isin(*IDEMPOTENT))
     # the blocks of a conditional: its own, and those of its elif parts
     part = n.filter(F.col("type") == "elif").select("file", F.col("nid").alias("parent"), F.col("parent").alias("top"))
-    blocks = n.filter(F.array_contains("concepts", "branch_body")).join(part, ["file", "parent"], "left").withColumn("top", F.coalesce("top", "parent"))
+    blocks = n.filter(F.array_contains("concepts", "branch_body")).join(part.hint("merge"), ["file", "parent"], "left").withColumn("top", F.coalesce("top", "parent"))
     same = blocks.groupBy("file", F.col("top").alias("nid")).agg(F.count(F.lit(1)).alias("m"), F.count_distinct("text").alias("d")).filter("m >= 2 AND d = 1")
     near = n.filter(has("finally") | has("function")).select(F.col("file").alias("f"), F.col("nid").alias("a"), F.col("last").alias("b"), has("finally").alias("fin"))
     back = n.filter(has("return"))
-    back = back.join(near, (back["file"] == near["f"]) & (near["a"] < back["nid"]) & (back["nid"] <= near["b"])).groupBy("file", "nid", "row").agg(F.max_by("fin", "a").alias("fin"))
+    back = back.join(near.hint("merge"), (back["file"] == near["f"]) & (near["a"] < back["nid"]) & (back["nid"] <= near["b"])).groupBy("file", "nid", "row").agg(F.max_by("fin", "a").alias("fin"))
     before = W.partitionBy("file", "parent").orderBy("nid").rowsBetween(W.unboundedPreceding, -1)
-    inside = n.join(n.filter(has("body")).select("file", F.col("nid").alias("parent")), ["file", "parent"], "left_semi").withColumn("ended", F.sum(has("terminal").cast("int")).over(before))
+    inside = n.join(n.filter(has("body")).select("file", F.col("nid").alias("parent")).hint("merge"), ["file", "parent"], "left_semi").withColumn("ended", F.sum(has("terminal").cast("int")).over(before))
     dead = inside.withColumn("row_of", F.row_number().over(W.partitionBy("file", "parent", F.col("ended") > 0).orderBy("nid"))).filter("ended > 0 AND row_of = 1")
     names = n.filter(has("reference")).select(F.col("file").alias("f"), F.col("name").alias("r"), F.col("nid").alias("at"))
     span = units(n).select("file", F.col("unit").alias("owner"), "last")
-    given = n.filter(has("parameter") & ~F.col("name").startswith("_") & ~F.col("name").isin("self", "cls")).drop("last").join(span, ["file", "owner"])
-    full = n.filter(F.array_contains("concepts", "function_body")).join(kids.filter("real > 0").select("file", "nid"), ["file", "nid"], "left_semi").select("file", F.col("parent").alias("owner"))
+    given = n.filter(has("parameter") & ~F.col("name").startswith("_") & ~F.col("name").isin("self", "cls")).drop("last").join(span.hint("merge"), ["file", "owner"])
+    full = n.filter(F.array_contains("concepts", "function_body")).join(kids.filter("real > 0").select("file", "nid").hint("merge"), ["file", "nid"], "left_semi").select("file", F.col("parent").alias("owner"))
     used = (given["file"] == names["f"]) & (given["name"] == names["r"]) & (given["owner"] < names["at"]) & (names["at"] <= given["last"])
-    unused = given.join(full, ["file", "owner"], "left_semi").join(names, used, "left_anti")
-    bound = n.filter(has("binding") & F.col("owner").isNotNull() & ~F.col("name").startswith("_")).groupBy("file", "owner", "name").agg(F.min("row").alias("row")).join(span, ["file", "owner"])
-    unbound = bound.join(names, (bound["file"] == names["f"]) & (bound["name"] == names["r"]) & (bound["owner"] < names["at"]) & (names["at"] <= bound["last"]), "left_anti")
+    unused = given.join(full.hint("merge"), ["file", "owner"], "left_semi").join(names.hint("merge"), used, "left_anti")
+    bound = n.filter(has("binding") & F.col("owner").isNotNull() & ~F.col("name").startswith("_")).groupBy("file", "owner", "name").agg(F.min("row").alias("row")).join(span.hint("merge"), ["file", "owner"])
+    unbound = bound.join(names.hint("merge"), (bound["file"] == names["f"]) & (bound["name"] == names["r"]) & (bound["owner"] < names["at"]) & (names["at"] <= bound["last"]), "left_anti")
     found = [
         mark(n.filter(has("comment") & F.col("text").rlike(r"(?i)\b(?:TODO|FIXME|XXX|HACK)\b")), "stub_marker"),
         mark(n.filter(has("broad_catch")), "broad_catch"),
         empty_catch, empty_body,
         mark(operands, "identical_operands"),
-        mark(n.join(same, ["file", "nid"], "left_semi"), "duplicate_branches"),
+        mark(n.join(same.hint("merge"), ["file", "nid"], "left_semi"), "duplicate_branches"),
         mark(back.filter("fin"), "return_in_finally"),
         mark(unused, "unused_parameter"), mark(unbound, "unused_local"),
         *([mark(dead, "unreachable_after_jump"), mark(wrappers(n), "trivial_wrapper", F.col("name")), mark(bindings.shadowing(n), "shadowed_variable")] if optional else []),
@@ -154,12 +154,12 @@ def anchors(nodes: DataFrame, least: int = CLONE_SIZE) -> DataFrame:
     functions = nodes.filter(has("function")).select("file", F.col("nid").alias("s_id"), F.col("nid").alias("s_lo"), F.col("last").alias("s_hi"))
     control = nodes.filter(has("decision") | has("nesting")).select("file", F.col("nid").alias("at"))
     steered = containing(control, functions, "file", "at", "at").select("file", F.col("s_id").alias("nid")).distinct().withColumn("steered", F.lit(True))
-    large = nodes.filter(has("function") | has("body")).join(steered, ["file", "nid"], "left")
+    large = nodes.filter(has("function") | has("body")).join(steered.hint("merge"), ["file", "nid"], "left")
     large = large.filter(F.col("size") >= F.when(has("function") & F.col("steered"), least).otherwise(2 * least))
     large = graph.cut(large.select("file", "nid", "last", F.col("row").alias("line"), "name", "hash"))
     spans = large.select("file", F.col("nid").alias("s_id"), F.col("nid").alias("s_lo"), F.col("last").alias("s_hi"), F.col("hash").alias("s_hash"))
     up = containing(large.select("file", "nid"), spans, "file", "nid", "nid").filter("s_id < nid").groupBy("file", "nid").agg(F.max_by("s_hash", "s_id").alias("up"))
-    return large.drop("last").join(up, ["file", "nid"], "left")
+    return large.drop("last").join(up.hint("merge"), ["file", "nid"], "left")
 
 
 def duplicates(nodes: DataFrame, least: int = CLONE_SIZE) -> DataFrame:
