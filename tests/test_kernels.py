@@ -170,3 +170,28 @@ def _join_inputs(df):
             rows.append(p.metrics().apply("shuffleRecordsWritten").value())
         todo += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(k) for k in range(p.children().size())]
     return rows
+
+
+def test_vocabularies_are_brute_force(spark):
+    import math
+
+    rng = np.random.default_rng(5)
+    docs = [sorted({f"w{int(x)}" for x in rng.zipf(1.3, 30) % 400}) for _ in range(60)]
+    docs += [d[:-1] for d in docs[:20]] + [docs[0]] * 12
+    rows = [(k, "t", d, " ".join(d)) for k, d in enumerate(docs)]
+    df = {w: sum(w in d for d in docs) for w in set().union(*docs)}
+    idf = {w: math.log2((len(docs) + 1) / (n + 1)) for w, n in df.items()}
+    weigh = lambda s: sum(idf[w] for w in s)
+    want = {}
+    for a in range(len(docs)):
+        for b in range(a + 1, len(docs)):
+            both = set(docs[a]) & set(docs[b])
+            if docs[a] != docs[b] and sum(df[w] == 2 for w in both) >= 2 and weigh(both) >= 0.5 * weigh({*docs[a], *docs[b]}):
+                want[a, b] = weigh(both) / weigh({*docs[a], *docs[b]})
+    got = text.shared_vocabulary(spark.createDataFrame(rows, "id long, lang string, w array<string>, d string"), "id", "lang", "w", "d", 0.5).collect()
+    assert want and {(r.x, r.y): r.score for r in got} == pytest.approx(want)
+
+
+def test_fronts_leave_common_terms_out(spark):
+    v = spark.createDataFrame([(1, [7, 8, 9], [4.0, 3.0, 1.0], [True, False, True], 8.0), (2, [9], [1.0], [True], 1.0)], "u long, tids array<long>, idfs array<double>, shared array<boolean>, total double")
+    assert sorted((r.u, r.tid, r.rest) for r in text.fronts(v, 0.5).collect()) == [(1, 7, 8.0), (2, 9, 1.0)]
