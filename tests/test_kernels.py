@@ -195,3 +195,11 @@ def test_vocabularies_are_brute_force(spark):
 def test_fronts_leave_common_terms_out(spark):
     v = spark.createDataFrame([(1, [7, 8, 9], [4.0, 3.0, 1.0], [True, False, True], 8.0), (2, [9], [1.0], [True], 1.0)], "u long, tids array<long>, idfs array<double>, shared array<boolean>, total double")
     assert sorted((r.u, r.tid, r.rest) for r in text.fronts(v, 0.5).collect()) == [(1, 7, 8.0), (2, 9, 1.0)]
+
+
+def test_trigrams_move_once(spark):
+    docs = spark.createDataFrame([(1, "a", "f", "x y x y".split()), (2, "a", "g", ["x"])], "id long, lang string, file string, t array<string>")
+    for df in (text.model(text.trigrams(docs.select("lang", "t"), "t"), ["lang"]), text.cross_entropy(docs, "t", "id", "lang", "file")):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("hashpartitioning(lang") == 1
